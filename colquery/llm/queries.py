@@ -9,11 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from . import language_id, mixing, packing, quality_gam, quality_rules, token_counts, toxicity
+from . import language_id, mixing, packing, quality_gam, quality_rules, shingle_join, token_counts, toxicity
 from .common import fold, materialize
 from .native import word_count
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.components(spark, table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -59,6 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ngram_join": op1_ngram_join,
         "op2_toxicity": op2_toxicity,
         "op3_token_counts": op3_token_counts,
         "op4_quality_gam": op4_quality_gam,
