@@ -149,23 +149,43 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _prefix_rows(spark, docs, sig, reps, id_col, text_col, words) -> DataFrame:
-    """(tok, node, n, pos): every node's prefix in the global order, MAX_MATCH - 1 tokens more than one match needs."""
+def _prefix_rows(spark, docs, reps, id_col, text_col, words) -> DataFrame:
+    """(tok, node, n, pos): every node's prefix in the global order, MAX_MATCH - 1 tokens more than one match needs.
+
+    Any set of hot tokens gives right results, a good one few candidates. It is
+    found in two steps: tokens frequent among what signatures hold, then
+    tokens frequent among the whole sets of nodes which those leave short.
+    """
     tokens = reps.select("node", "n", F.size("toks").alias("e"), F.posexplode("toks").alias("pos", "tok"))
-    hot = materialize(spark, tokens.groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") >= HOT).select("tok"), "hot")
-    hot_at = tokens.join(hot, "tok").groupBy("node").agg(F.array_sort(F.collect_set("pos")).alias("hot_at"))  # of one node: at most its prefix
-    state = reps.join(hot_at, "node", "left").withColumn("e", F.size("toks")).withColumn("hot_at", F.coalesce("hot_at", F.array().cast("array<int>")))
     need = F.expr(_sql_probe("n") + f" + {MAX_MATCH - 1}")
-    short = (F.col("e") < F.col("n")) & (F.col("e") - F.size("hot_at") < need)
-    state = state.withColumn("short", short)
+
+    def state_by(hot: DataFrame) -> DataFrame:
+        hot_at = tokens.join(hot, "tok").groupBy("node").agg(F.array_sort(F.collect_set("pos")).alias("hot_at"))  # of one node: at most its prefix
+        state = reps.join(hot_at, "node", "left").withColumn("e", F.size("toks")).withColumn("hot_at", F.coalesce("hot_at", F.array().cast("array<int>")))
+        return state.withColumn("short", (F.col("e") < F.col("n")) & (F.col("e") - F.size("hot_at") < need))
+
+    def fetch(state: DataFrame, have: DataFrame | None) -> DataFrame:
+        wanted = state.where("short").select("node", "rep").dropDuplicates(["node"])
+        if have is not None:
+            wanted = wanted.join(have.select("node"), "node", "left_anti")
+        wanted = materialize(spark, wanted, "short")
+        return materialize(spark, whole_sets(docs, wanted, id_col, text_col, words).dropDuplicates(["node"]), "shortsets")
+
+    hot = materialize(spark, tokens.groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") >= HOT).select("tok"), "hot")
+    state = state_by(hot)
+    sets = fetch(state, None)
+    common = sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") >= HOT).select("tok")
+    more = materialize(spark, common.join(hot, "tok", "left_anti"), "hotter")
+    if not more.isEmpty():
+        hot = hot.unionByName(more)
+        state = state_by(hot)
+        sets = sets.unionByName(fetch(state, sets))
     # Enough tokens: cold ones keep their order, hot ones follow if the set ends within the prefix.
-    cold_first = F.expr("concat(filter(transform(toks, (t, i) -> struct(t AS t, array_contains(hot_at, i) AS h)), x -> NOT x.h), "
-                        "filter(transform(toks, (t, i) -> struct(t AS t, array_contains(hot_at, i) AS h)), x -> x.h AND e = n))")
+    marked = "transform(toks, (t, i) -> struct(t AS t, array_contains(hot_at, i) AS h))"
+    cold_first = F.expr(f"concat(filter({marked}, x -> NOT x.h), filter({marked}, x -> x.h AND e = n))")
     plain = F.transform(F.col("toks"), lambda t: F.struct(t.alias("t"), F.lit(False).alias("h")))
     ready = state.where("NOT short").withColumn("o", F.when(F.size("hot_at") > 0, cold_first).otherwise(plain))
     ready = ready.select("node", "n", F.posexplode(F.slice("o", F.lit(1), need)).alias("pos", "x")).select(F.col("x.t").alias("tok"), "node", "n", (F.col("pos") + 1).alias("pos"))
-    wanted = materialize(spark, state.where("short").select("node", "n", "rep").dropDuplicates(["node"]), "short")
-    sets = whole_sets(docs, wanted, id_col, text_col, words).dropDuplicates(["node"])
     flat = sets.select("node", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
     flagged = flat.join(hot.withColumn("h", F.lit(1)), "tok", "left")
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("h", F.lit(0)), "tok"))
@@ -189,7 +209,7 @@ def components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     reps = sig.where("n > 0").join(copied, F.col("node") == F.col("__node"), "left")
     reps = reps.where("__node IS NULL OR doc_id <=> rep").select("node", "n", "toks", F.col("doc_id").alias("rep"))
 
-    rows = _prefix_rows(spark, docs, sig, reps, id_col, text_col, words)
+    rows = _prefix_rows(spark, docs, reps, id_col, text_col, words)
     counts = rows.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
     lists = rows.join(counts, "tok")
     lists = materialize(spark, lists.select("tok", "node", "n", "pos", F.col("df").cast("int").alias("df")), "lists")
