@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from . import language_id, mixing, packing, quality_gam, quality_rules, shingle_join, token_counts, toxicity
+from . import language_id, lsh_search, mixing, packing, quality_gam, quality_rules, shingle_join, token_counts, toxicity
 from .common import fold, materialize
 from .native import word_count
 
@@ -48,6 +48,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op7_lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_search.search(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(fold("doc_id", 4) != 2))
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_gam": op4_quality_gam,
         "op5_quality_rules": op5_quality_rules,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_lsh_search": op7_lsh_search,
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
     }
