@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import table
-from . import language_id, lsh_search, mixing, packing, quality_gam, quality_rules, shingle_join, token_counts, toxicity
+from . import language_id, lsh_search, mixing, packing, quality_gam, quality_rules, shingle_join, token_counts, toxicity, warc
 from .common import fold, materialize
 from .native import word_count
 
@@ -52,6 +52,11 @@ def op7_lsh_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_search.search(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.archive(spark, table(spark, sf_dir, "pages"), min_revisit=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(fold("doc_id", 4) != 2))
@@ -74,10 +79,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_lsh_search": op7_lsh_search,
+        "op8_warc": op8_warc,
         "op9_language_id": op9_language_id,
         "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.ORACLE}
+    return {"op8_warc": warc.ORACLE, "op10_mixing": mixing.ORACLE}
