@@ -108,7 +108,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """node, toks (all of them) for the wanted (node, rep): texts are fetched by document id and hashed again."""
-    want = wanted.select(F.col("rep").alias("__rep"), F.col("node").alias("__node"))
+    want = _side(wanted).select(F.col("rep").alias("__rep"), F.col("node").alias("__node"))
     found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(want, F.col("__id").eqNullSafe(F.col("__rep"))).select("__node", "text")
 
     def run(c):
@@ -149,48 +149,68 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _prefix_rows(spark, docs, reps, id_col, text_col, words) -> DataFrame:
-    """(tok, node, n, pos): every node's prefix in the global order, MAX_MATCH - 1 tokens more than one match needs.
+#: Rows (of a few longs each, so some tens of MB) up to which a counted side is broadcast; beyond it both sides are shuffled.
+MAX_BROADCAST = 500_000
 
-    Any set of hot tokens gives right results, a good one few candidates. It is
-    found in two steps: tokens frequent among what signatures hold, then
-    tokens frequent among the whole sets of nodes which those leave short.
+
+def _side(df: DataFrame) -> DataFrame:
+    """A written table, broadcast if its counted size allows it."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
+def _prefix_lists(spark, docs, reps, id_col, text_col, words) -> DataFrame:
+    """(tok, node, n, pos, df): prefixes in the global order as far as two nodes or more share a token.
+
+    A prefix has MAX_MATCH - 1 tokens more than one match needs. Any set of hot
+    tokens gives right results, a good one few candidates. It is found in two
+    steps: tokens frequent among what signatures hold, then tokens frequent
+    among the whole sets of nodes which those leave short. The tokens of
+    signatures are shuffled once, to find the shared ones; all later steps work
+    on those, on the few short nodes, or look a few tokens up in signatures.
     """
-    tokens = reps.select("node", "n", F.size("toks").alias("e"), F.posexplode("toks").alias("pos", "tok"))
+    taken = reps.select("node", "n", F.size("toks").alias("e"), F.posexplode("toks").alias("pos", "tok"))
+    counts = taken.groupBy("tok").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    shared = materialize(spark, taken.join(counts, "tok").select("tok", "node", "n", "e", "pos", (F.col("df") >= HOT).alias("hot")), "shared")
     need = F.expr(_sql_probe("n") + f" + {MAX_MATCH - 1}")
+    rep_of = reps.select("node", "rep")
 
-    def state_by(hot: DataFrame) -> DataFrame:
-        hot_at = tokens.join(hot, "tok").groupBy("node").agg(F.array_sort(F.collect_set("pos")).alias("hot_at"))  # of one node: at most its prefix
-        state = reps.join(hot_at, "node", "left").withColumn("e", F.size("toks")).withColumn("hot_at", F.coalesce("hot_at", F.array().cast("array<int>")))
-        return state.withColumn("short", (F.col("e") < F.col("n")) & (F.col("e") - F.size("hot_at") < need))
+    def hot_places(hot_rows: DataFrame) -> DataFrame:
+        """Per node the places of its hot tokens (at most its prefix) and whether what was taken is too short."""
+        per = hot_rows.groupBy("node", "n", "e").agg(F.array_sort(F.collect_set("pos")).alias("hot_at"))
+        return materialize(spark, per.withColumn("short", (F.col("e") < F.col("n")) & (F.col("e") - F.size("hot_at") < need)), "hot-places")
 
-    def fetch(state: DataFrame, have: DataFrame | None) -> DataFrame:
-        wanted = state.where("short").select("node", "rep").dropDuplicates(["node"])
+    def fetch(places: DataFrame, have: DataFrame | None) -> DataFrame:
+        wanted = places.where("short").select("node")
         if have is not None:
             wanted = wanted.join(have.select("node"), "node", "left_anti")
-        wanted = materialize(spark, wanted, "short")
-        return materialize(spark, whole_sets(docs, wanted, id_col, text_col, words).dropDuplicates(["node"]), "shortsets")
+        wanted = rep_of.join(_side(materialize(spark, wanted, "short")), "node").dropDuplicates(["node"])
+        return materialize(spark, whole_sets(docs, materialize(spark, wanted, "short-reps"), id_col, text_col, words).dropDuplicates(["node"]), "short-sets")
 
-    hot = materialize(spark, tokens.groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") >= HOT).select("tok"), "hot")
-    state = state_by(hot)
-    sets = fetch(state, None)
+    hot_rows = shared.where("hot")
+    places = hot_places(hot_rows)
+    sets = fetch(places, None)
+    hot = materialize(spark, hot_rows.select("tok").distinct(), "hot")
     common = sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("c")).where(F.col("c") >= HOT).select("tok")
-    more = materialize(spark, common.join(hot, "tok", "left_anti"), "hotter")
-    if not more.isEmpty():
-        hot = hot.unionByName(more)
-        state = state_by(hot)
-        sets = sets.unionByName(fetch(state, sets))
-    # Enough tokens: cold ones keep their order, hot ones follow if the set ends within the prefix.
-    marked = "transform(toks, (t, i) -> struct(t AS t, array_contains(hot_at, i) AS h))"
-    cold_first = F.expr(f"concat(filter({marked}, x -> NOT x.h), filter({marked}, x -> x.h AND e = n))")
-    plain = F.transform(F.col("toks"), lambda t: F.struct(t.alias("t"), F.lit(False).alias("h")))
-    ready = state.where("NOT short").withColumn("o", F.when(F.size("hot_at") > 0, cold_first).otherwise(plain))
-    ready = ready.select("node", "n", F.posexplode(F.slice("o", F.lit(1), need)).alias("pos", "x")).select(F.col("x.t").alias("tok"), "node", "n", (F.col("pos") + 1).alias("pos"))
-    flat = sets.select("node", F.size("toks").alias("n"), F.explode("toks").alias("tok"))
-    flagged = flat.join(hot.withColumn("h", F.lit(1)), "tok", "left")
+    hotter = materialize(spark, common.join(hot, "tok", "left_anti"), "hotter")
+    if not hotter.isEmpty():
+        more = taken.join(_side(hotter), "tok").select("tok", "node", "n", "e", "pos", F.lit(True).alias("hot"))
+        places = hot_places(hot_rows.unionByName(more))
+        sets = sets.unionByName(fetch(places, sets))
+        hot = hot.unionByName(hotter)
+    # Short nodes: the whole set in the global order.
+    flagged = sets.select("node", F.size("toks").alias("n"), F.explode("toks").alias("tok")).join(hot.withColumn("h", F.lit(1)), "tok", "left")
     place = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("h", F.lit(0)), "tok"))
-    rest = flagged.withColumn("pos", place).where(F.col("pos") <= need).select("tok", "node", "n", "pos")
-    return ready.unionByName(rest)
+    rest = materialize(spark, flagged.withColumn("pos", place).where(F.col("pos") <= need).select("tok", "node", "n", "pos"), "short-rows")
+    # The others: cold tokens keep their order; hot ones follow where the set was taken whole, else lie beyond the prefix.
+    extra = taken.join(_side(materialize(spark, rest.select("tok").distinct(), "short-toks")), "tok").select("tok", "node", "n", "e", "pos")
+    ready = shared.drop("hot").unionByName(extra).distinct().join(places.select("node", "hot_at", "short"), "node", "left").where("short IS NULL OR NOT short")
+    hots, before = F.coalesce(F.size("hot_at"), F.lit(0)), F.expr("size(filter(hot_at, h -> h < pos))")
+    is_hot = F.expr("hot_at IS NOT NULL AND array_contains(hot_at, pos)")
+    moved = F.when(F.col("hot_at").isNull(), F.col("pos") + 1).when(~is_hot, F.col("pos") + 1 - before).when(F.col("e") == F.col("n"), F.col("e") - hots + before + 1)
+    ready = ready.withColumn("pos", moved).where(F.col("pos").isNotNull() & (F.col("pos") <= need)).select("tok", "node", "n", "pos")
+    rows = materialize(spark, ready.unionByName(rest), "prefixes")
+    counts = rows.groupBy("tok").agg(F.count("*").cast("int").alias("df")).where("df > 1")
+    return materialize(spark, rows.join(counts, "tok"), "lists")
 
 
 def _verified(spark, pairs: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -206,13 +226,10 @@ def _verified(spark, pairs: DataFrame, arrays: DataFrame) -> DataFrame:
 def components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     sig = materialize(spark, signatures(docs, id_col, text_col, words), "signatures")
     copied = sig.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select(F.col("node").alias("__node"), "rep")
+    copied = _side(materialize(spark, copied, "copied"))
     reps = sig.where("n > 0").join(copied, F.col("node") == F.col("__node"), "left")
     reps = reps.where("__node IS NULL OR doc_id <=> rep").select("node", "n", "toks", F.col("doc_id").alias("rep"))
-
-    rows = _prefix_rows(spark, docs, reps, id_col, text_col, words)
-    counts = rows.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
-    lists = rows.join(counts, "tok")
-    lists = materialize(spark, lists.select("tok", "node", "n", "pos", F.col("df").cast("int").alias("df")), "lists")
+    lists = _prefix_lists(spark, docs, reps, id_col, text_col, words)
 
     # Adaptive match counts: per node the l whose entries plus expected verifications cost least.
     probe = F.expr(_sql_probe("n"))
@@ -239,7 +256,7 @@ def components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         if have is not None:
             nodes = nodes.join(have.select("node"), "node", "left_anti")
-        wanted = nodes.join(rep_of, "node").dropDuplicates(["node"])
+        wanted = rep_of.join(_side(materialize(spark, nodes, "nodes")), "node").dropDuplicates(["node"])
         got = materialize(spark, whole_sets(docs, materialize(spark, wanted, "wanted"), id_col, text_col, words).dropDuplicates(["node"]), "sets")
         return got if have is None else have.unionByName(got)
 
