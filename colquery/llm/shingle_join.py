@@ -79,11 +79,6 @@ def _sql_probe(n: str) -> str:
     return f"({n} - (4 * {n} + 4) div 5 + 1)"
 
 
-def _sql_index(n: str) -> str:
-    """Prefix length against larger or equal sets: n - ceil(8/9 n) + 1."""
-    return f"({n} - (8 * {n} + 8) div 9 + 1)"
-
-
 def _sql_overlap(a: str, b: str) -> str:
     """Smallest overlap of a link: ceil(4/9 (a + b))."""
     return f"((4 * ({a} + {b}) + 8) div 9)"
@@ -123,30 +118,69 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, w
     return map_batches(found, run, "node long, toks array<long>")
 
 
+#: Edges up to which a graph is finished in one task; a larger one is contracted first, round by round.
+FINISH_EDGES = 1_000_000
+
+
+def _finish_edges(edges: DataFrame) -> DataFrame:
+    """(node, comp) of at most FINISH_EDGES counted edges: minimum labels with pointer jumping in one task's arrays."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if not parts:
+            return
+        a, b = (np.concatenate(x) for x in zip(*parts, strict=True))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = at[: len(a)], at[len(a) :]
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[x], label[y])
+            new = label.copy()
+            np.minimum.at(new, label[x], low)
+            np.minimum.at(new, label[y], low)
+            while (new[new] != new).any():
+                new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        for k in range(0, len(nodes), 100_000):
+            yield pa.RecordBatch.from_pydict({"node": nodes[k : k + 100_000], "comp": nodes[label[k : k + 100_000]]})
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "node long, comp long")
+
+
 def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, comp) for all ends of ``edges`` (a, b), by contraction.
+    """(node, comp) for all ends of ``edges`` (a, b).
 
-    In each round every vertex moves to the vertex of smallest priority in its
-    neighbourhood, priorities being drawn anew; edges and labels are written
-    in each round, so lineage stays short. Hubs are pre-aggregated minima.
+    While there are more than FINISH_EDGES edges, each vertex moves to the
+    vertex of smallest priority in its neighbourhood, priorities being drawn
+    anew each round; edges and labels are written each round, so lineage stays
+    short. Hubs are pre-aggregated minima. The contracted rest has a checked
+    size and is finished in one task.
     """
     edges = materialize(spark, edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels = materialize(spark, edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("comp", F.col("node")), "labels")
-    rounds = 0
-    while not edges.isEmpty():
+    labels, rounds = None, 0
+    while edges.count() > FINISH_EDGES:
+        if labels is None:
+            labels = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("comp", F.col("node"))
         both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a")))
         near = both.groupBy("a").agg(F.min(F.xxhash64(F.lit(rounds), F.col("b"))).alias("h"))
         ends = both.select(F.col("b").alias("to"), F.xxhash64(F.lit(rounds), F.col("b")).alias("h")).distinct()
         own = F.xxhash64(F.lit(rounds), F.col("a"))
-        moved = near.withColumn("h", F.least("h", own)).join(ends, "h").select(F.col("a").alias("from"), "to")
-        moved = materialize(spark, moved, "moved")
+        moved = materialize(spark, near.withColumn("h", F.least("h", own)).join(ends, "h").select(F.col("a").alias("from"), "to"), "moved")
         step = edges.join(moved.withColumnRenamed("to", "a2"), F.col("a") == F.col("from")).drop("from")
         step = step.join(moved.withColumnRenamed("to", "b2"), F.col("b") == F.col("from"))
         edges = materialize(spark, step.where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "edges")
         labels = labels.join(moved, F.col("comp") == F.col("from"), "left").select("node", F.coalesce("to", "comp").alias("comp"))
         labels = materialize(spark, labels, "labels")
         rounds += 1
-    return labels
+    last = materialize(spark, _finish_edges(edges), "labels")
+    if labels is None:
+        return last
+    last = last.select(F.col("node").alias("__at"), F.col("comp").alias("__to"))
+    return materialize(spark, labels.join(last, F.col("comp") == F.col("__at"), "left").select("node", F.coalesce("__to", "comp").alias("comp")), "labels")
 
 
 #: Rows (of a few longs each, so some tens of MB) up to which a counted side is broadcast; beyond it both sides are shuffled.
@@ -275,8 +309,9 @@ def components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     side = lambda p: [F.col(c).alias(p + c) for c in ("node", "n", "pos", "comp", "l", "outside")]
     left, right = placed.where("outside").select("tok", *side("a_")), placed.select("tok", *side("b_"))
     pairs = left.join(right, "tok").where("a_comp <> b_comp AND (NOT b_outside OR a_node < b_node) AND 100 * least(a_n, b_n) >= 80 * greatest(a_n, b_n)")
-    longer = F.expr("a_n > b_n OR (a_n = b_n AND a_node > b_node)")  # one of equal sizes counts as the longer
-    within = F.when(longer, F.expr(f"b_pos <= {_sql_index('b_n')} + b_l - 1")).otherwise(F.expr(f"a_pos <= {_sql_index('a_n')} + a_l - 1"))
+    # The lemma with the pair's own least overlap: tighter than either node's prefix.
+    room = f" - {_sql_overlap('a_n', 'b_n')} + least(a_l, b_l)"
+    within = F.expr(f"a_pos <= a_n{room} AND b_pos <= b_n{room}")
     pairs = pairs.where(within).groupBy("a_node", "b_node", "a_n", "b_n", "a_l", "b_l").agg(F.countDistinct("tok").alias("k"), F.min("a_pos").alias("pa"), F.min("b_pos").alias("pb"))
     pairs = pairs.where(f"k >= least(a_l, b_l) AND 1 + least(a_n - pa, b_n - pb) >= {_sql_overlap('a_n', 'b_n')}")
     pairs = pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
