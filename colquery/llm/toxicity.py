@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, letters, map_batches, sigmoid, text_of
 
-MAX_TRAIN, MAX_FEATURES, FOLDS, STEPS, L2 = 4_000, 384, 5, 200, 1e-3
-MIN_TEXTS = 4  # of the training rows that a feature occurs in
+MAX_TRAIN, MAX_FEATURES, FOLDS, STEPS, L2 = 4_000, 384, 5, 200, 3e-4
+MIN_TEXTS, MIN_CHI = 4, 15.0  # of a feature: training rows it occurs in, association beyond chance
+BETA = 0.5  # of the F measure that sets the threshold: clean texts matter more than toxic ones
 BEGIN = range(4, 9)
 MEMORY = 300_000
 
@@ -99,7 +100,7 @@ def choose(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     chi = np.maximum(np.abs(a - e) - 0.5, 0) ** 2 / (e * (1 - share) + 1)
     chi[n < MIN_TEXTS] = -1
     best = np.argsort(-chi, kind="stable")[:MAX_FEATURES]
-    return np.sort(ids[best[chi[best] > 0]])
+    return np.sort(ids[best[chi[best] > MIN_CHI]])
 
 
 def matrix(texts: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
@@ -126,11 +127,11 @@ def fit(texts: list[np.ndarray], labels: dict[str, np.ndarray], weight: np.ndarr
         models.append(logistic(full, labels[name], weight))
         out_of_fold = np.hstack([out_of_fold, held[:, None]])
     chain = Chain(names, vocabulary, models)
-    if len(y) and 0 < y.sum() < len(y):  # the threshold of best F1 on out-of-fold probabilities
-        cuts = np.linspace(0.2, 0.8, 25)
-        p = out_of_fold[:, -1]
-        f1 = [2 * (weight * y * (p >= c)).sum() / max(1e-9, (weight * (p >= c)).sum() + (weight * y).sum()) for c in cuts]
-        chain.threshold = float(cuts[int(np.argmax(f1))])
+    if len(y) and 0 < y.sum() < len(y):  # the threshold of best F measure on out-of-fold probabilities
+        cuts = np.linspace(0.2, 0.9, 29)
+        p, b = out_of_fold[:, -1], BETA**2
+        f = [(1 + b) * (weight * y * (p >= c)).sum() / max(1e-9, (weight * (p >= c)).sum() + b * (weight * y).sum()) for c in cuts]
+        chain.threshold = float(cuts[int(np.argmax(f))])
     return chain
 
 
