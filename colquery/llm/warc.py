@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, materialize, work_path
 
-SHARD_BYTES, ROLL_BYTES, MAX_BUCKETS, LEVEL, DATE = 16 << 20, 64 << 20, 1 << 20, 6, "2000-01-01T00:00:00Z"
+SHARD_BYTES, ROLL_BYTES, MAX_BUCKETS, MAX_TASKS, LEVEL, DATE = 16 << 20, 64 << 20, 1 << 20, 100_000, 6, "2000-01-01T00:00:00Z"
 MANIFEST = "file string, shard long, seq int, records long, bytes long, sha256 string"
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 CRLF = b"\r\n"
@@ -120,7 +120,7 @@ def decisions(pages: DataFrame, min_revisit: int) -> DataFrame:
 
 
 def sharder(keys: DataFrame, shard_bytes: int):
-    """A function that adds ``shard``: ids are cut evenly into buckets, buckets gathered to ranges of about ``shard_bytes`` payload."""
+    """A function that adds ``shard``, and about how many there are: ids are cut evenly into buckets, buckets gathered to ranges of about ``shard_bytes`` payload."""
     edge = keys.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.sum("size").alias("bytes")).first()
     lo, hi, total = edge["lo"] or 0, edge["hi"] or 0, edge["bytes"] or 0
     buckets = max(1, min(MAX_BUCKETS, 8 * -(-total // shard_bytes)))
@@ -129,7 +129,8 @@ def sharder(keys: DataFrame, shard_bytes: int):
     sizes = keys.groupBy(bucket.alias("bucket")).agg(F.sum("size").alias("b"))
     before = F.sum("b").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     shards = sizes.select("bucket", F.floor(F.coalesce(before, F.lit(0)) / shard_bytes).cast("long").alias("shard"))
-    return lambda df: df.withColumn("bucket", bucket).join(F.broadcast(shards), "bucket").drop("bucket")  # at most MAX_BUCKETS rows
+    add = lambda df: df.withColumn("bucket", bucket).join(F.broadcast(shards), "bucket").drop("bucket")  # at most MAX_BUCKETS rows
+    return add, -(-total // shard_bytes)
 
 
 def write_archive(spark: SparkSession, pages: DataFrame, path: str, *, min_revisit: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
@@ -137,11 +138,11 @@ def write_archive(spark: SparkSession, pages: DataFrame, path: str, *, min_revis
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     sized = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.sha1(payload).alias("sha"), F.length(payload).cast("long").alias("size"))
     keys = materialize(spark, sized.select("page_id", "sha", "size"), "page-keys")
-    shard = sharder(keys, shard_bytes)
+    shard, shards = sharder(keys, shard_bytes)
     # Decisions and pages come to the writer in one shuffle.
     decided = shard(decisions(keys, min_revisit)).select("shard", "page_id", "sha", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
     stream = decided.unionByName(shard(sized).select("shard", "page_id", "sha", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "html"))
-    count = max(1, min(4_096, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    count = max(1, min(MAX_TASKS, 2 * shards))  # tasks follow the data: few shards share one by chance
     stream = stream.repartition(count, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha", "kind", F.col("url").asc_nulls_first())
     fs, local = filesystem(path)
     fs.create_dir(f"{local}/data")
