@@ -49,3 +49,25 @@ def materialize(spark: SparkSession, df, name: str = "step"):
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to Python workers, once per application, unless PYTHONPATH already names its folder."""
+    import os
+    import zipfile
+
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    app = spark.sparkContext.applicationId
+    if app in _shipped or home in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="colquery-"), "colquery.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(os.path.join(home, "colquery")):
+            for name in names:
+                if name.endswith(".py"):
+                    out.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), home))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
