@@ -20,8 +20,12 @@ rows are documents of their own. An empty table gives no row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType, VariantType
+
+from .common import materialize
+from .native import word_count
 
 WEIGHTS, FACTOR, CAP, BLOCK_ROWS, SEED = (3, 1, 2), 1.5, 2, 1_000, "mix-1"
 
@@ -47,9 +51,11 @@ def targets(sized: DataFrame, weights=WEIGHTS, factor: float = FACTOR, cap: int
         "source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("ratio"), offset.alias("offset"))
 
 
-def copies(sized: DataFrame, key: str = "doc_id", block_rows: int = BLOCK_ROWS, **options) -> DataFrame:
+def copies(sized: DataFrame, key: str = "doc_id", block_rows: int = BLOCK_ROWS, ties: tuple[str, ...] = (), **options) -> DataFrame:
     """``sized`` (source, size, an integer ``key``, anything else) plus source_size, target and copies.
 
+    Rows of equal size go by ``key``, then by the columns in ``ties``.
+
     Columns named ``__…`` are used meanwhile; a column of the input with the
     name of a result column is replaced.
     """
@@ -61,7 +67,7 @@ def copies(sized: DataFrame, key: str = "doc_id", block_rows: int = BLOCK_ROWS,
     counts = rows.groupBy("source", "size", "__block").agg(F.count("*").alias("__n"))
     order = Window.partitionBy("source").orderBy("size", "__block")
     starts = counts.select(F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("__block").alias("__b"), (F.sum("__n").over(order) - F.col("__n")).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy("source", "size", "__block").orderBy(F.col(key).asc_nulls_first()))
+    inner = F.row_number().over(Window.partitionBy("source", "size", "__block").orderBy(F.col(key).asc_nulls_first(), *ties))
     rows = rows.withColumn("__at", inner).join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")) & (F.col("__block") == F.col("__b")))
     per = targets(sized, **options).withColumnRenamed("source", "__src")
     rows = rows.join(per, F.col("source").eqNullSafe(F.col("__src")))
@@ -72,8 +78,36 @@ def copies(sized: DataFrame, key: str = "doc_id", block_rows: int = BLOCK_ROWS,
 
 def mix(sized: DataFrame, **options) -> DataFrame:
     """The mixture itself: every row of ``sized`` as often as it is emitted."""
-    out = copies(sized, **options)
-    return out.where("copies > 0").withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*sized.columns)
+    return _repeated(copies(sized, **options)).select(*sized.columns)
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    return rows.where("copies > 0").withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+
+
+def mix_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mixture of whole rows of ``docs``, whatever further columns they have.
+
+    Sizes are counted once and written beside ids and text hashes. Copies are
+    worked out on those narrow rows and joined to the whole rows, so texts are
+    shuffled once at most. Rows equal in id, source and text share the copies
+    they got together: an equal part each, what is left over to the first.
+    """
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    doc, text, source = (F.col(names[c]) for c in (id_col, text_col, source_col))
+    sized = materialize(spark, rows.select(doc.alias("doc_id"), source.alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("mark")), "sized")
+    found = copies(sized, ties=("mark",), **options).groupBy("doc_id", "source", "mark").agg(F.count("*").alias("n"), F.sum("copies").alias("total"))
+    found = materialize(spark, found.where("total > 0"), "copies")
+    joined = lambda part: rows.join(part, doc.eqNullSafe(F.col("doc_id")) & source.eqNullSafe(F.col("source")) & (F.xxhash64(text) == F.col("mark")))
+    out = joined(found.where("n = 1")).withColumn("copies", F.col("total"))
+    shared = found.where("n > 1")
+    if not shared.isEmpty():
+        ordered = [names[f.name] for f in docs.schema if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
+        place = F.row_number().over(Window.partitionBy("doc_id", "source", "mark").orderBy(*ordered))
+        part = F.floor(F.col("total") / F.col("n")) + (place <= F.col("total") % F.col("n")).cast("long")
+        out = out.unionByName(joined(shared).withColumn("copies", part))
+    return _repeated(out).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 #: The rows of ``copies`` over documents, with taken = copies * size, in DuckDB's dialect.

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from colquery.catalog import table
 from colquery.llm import mixing, packing, quality_gam, shingle_join, toxicity
 from colquery.llm.common import materialize
-from colquery.llm.native import word_count
 from colquery.llm.queries import pack_tokenizer
 
 MIN_QUALITY = 0.3
@@ -45,9 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources by target weight: documents repeat or drop out, by systematic sampling."""
-    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    return mixing.mix(sized).select(*[F.col(n).alias(c) for c, n in names.items()])
+    return mixing.mix_documents(spark, docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -244,6 +244,22 @@ def test_mixing_odd(spark, odd, empty):
     assert mixing.copies(empty.select("doc_id", "source", word_count(F.col("text")).alias("size"))).count() == 0
 
 
+def test_mixing_whole_rows(spark, odd, empty):
+    """Rows keep all columns; each (id, source, text) is emitted as often as its narrow rows are."""
+    twice = odd.select("*", F.lit(1).alias("copies"), F.lit("x").alias("mark"), F.array(F.lit(2)).alias("total"))
+    twice = twice.unionByName(twice.withColumn("mark", F.lit("y"))).unionByName(twice.withColumn("doc_id", F.lit(None).cast("long")))
+    sized = twice.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    want = Counter()
+    for r in mixing.copies(sized, ties=("h",)).collect():
+        want[r.doc_id, r.source, r.h] += r.copies
+    mixed = mixing.mix_documents(spark, twice)
+    assert mixed.columns == twice.columns
+    got = Counter((r.doc_id, r.source, r.h) for r in mixed.select("doc_id", "source", F.xxhash64("text").alias("h")).collect())
+    assert got == +want and sum(got.values()) > 0
+    assert sorted(map(repr, mixed.collect())) == sorted(map(repr, mixing.mix_documents(spark, twice).collect()))
+    assert mixing.mix_documents(spark, empty).count() == 0
+
+
 def brute_targets(sizes):
     weights = dict(zip(sorted(sizes), [3, 1, 2] * 99, strict=False))
     left, open_, out = 1.5 * sum(sizes.values()), set(sizes), {}
