@@ -13,7 +13,9 @@ both start a token right after white space agree on everything that follows.
   chunk encoded again, up to the rest of the text if need be.
 
 Within a chunk, words between the two commonest spaces (0x20 and 0x0A, stable
-by the same argument) are encoded once per worker and remembered.
+by the same argument) are encoded once per worker and remembered. New words go
+to the library many at a time, parted by a special token where it has one that
+is matched as it stands: it cuts the text before anything else is done to it.
 
 Null text counts as empty: 0 bytes, 0 tokens. Every input row gives one row;
 rows are independent, so ties, repeats, empty tables and further columns need
@@ -22,8 +24,7 @@ no care.
 
 from __future__ import annotations
 
-import re
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from .common import map_batches, text_of
 CHUNK, OVERLAP, LIMIT = 32_768, 1_024, 2_048
 #: Words remembered per worker; beyond it the memory starts anew.
 MEMORY = 400_000
+#: New words encoded as one text.
+GROUP = 64
 #: Characters that Unicode calls white space, as the tokenizer's pattern does. Fixed values.
 SPACE = " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -45,36 +48,41 @@ class Counter:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.chunk, self.overlap, self.known = chunk, overlap, {}
+        self.chunk, self.overlap, self.known = chunk, overlap, {"": 0}
         self.widened = 0
-        self._word = re.compile(r"[^ \n]+")
+        plain = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)}
+        self.mark, self.mark_id = min(plain.items(), default=(None, None), key=lambda kv: -kv[1])
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         return self.tok.encode(text, add_special_tokens=False).offsets
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode the words of ``texts`` that are not remembered yet, all at once."""
-        new: set[str] = set()
-        for t in texts:
-            new.update(t.replace("\n", " ").split(" "))
-        new.discard("")
-        new.difference_update(self.known)
-        if len(self.known) + len(new) > MEMORY:
-            self.known = {}
-            new = set()
-            for t in texts:
-                new.update(t.replace("\n", " ").split(" "))
-            new.discard("")
-        words = list(new)
+    def lengths(self, words: list[str]) -> list[int]:
+        """Tokens of each of ``words``, which hold no white space that a word may be cut at."""
         encode = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
+        if self.mark is None:
+            return [len(e.ids) for e in encode(words, add_special_tokens=False)]
+        out: list[int] = []
+        groups = [words[k : k + GROUP] for k in range(0, len(words), GROUP)]
+        for group, e in zip(groups, encode([self.mark.join(g) + self.mark for g in groups], add_special_tokens=False), strict=True):
+            ends = np.flatnonzero(np.array(e.ids) == self.mark_id)
+            if len(ends) == len(group):
+                out.extend((np.diff(ends, prepend=-1) - 1).tolist())
+            else:  # a mark ran together with a word
+                out.extend(len(e.ids) for e in encode(group, add_special_tokens=False))
+        return out
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Encode the words of ``texts`` that are not remembered yet."""
+        new = set().union(*texts).difference(self.known)
+        if len(self.known) + len(new) > MEMORY:
+            self.known = {"": 0}
+            new = set().union(*texts).difference(self.known)
+        with_mark = [w for w in new if self.mark is not None and self.mark in w]
+        self.known.update((w, len(self.tok.encode(w, add_special_tokens=False).ids)) for w in with_mark)
+        words = list(new.difference(with_mark))
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
-            self.known.update(zip(part, (len(e.ids) for e in encode(part, add_special_tokens=False)), strict=True))
-
-    def short(self, text: str) -> int:
-        words = text.replace("\n", " ").split(" ")
-        known = self.known
-        return sum([known[w] for w in words if w])
+            self.known.update(zip(part, self.lengths(part), strict=True))
 
     def stable(self, text: str, base: int, offsets, low: int, high: int) -> set[int]:
         """Places in [low, high) of the text where a token starts right after white space."""
@@ -108,8 +116,10 @@ class Counter:
 
     def count(self, texts: list[str]) -> list[int]:
         """Slices of bounded size are learned together, then counted."""
-        self.learn([t for t in texts if len(t) <= self.chunk])
-        return [self.short(t) if len(t) <= self.chunk else self.long(t) for t in texts]
+        short = {i: t.replace("\n", " ").split(" ") for i, t in enumerate(texts) if len(t) <= self.chunk}
+        self.learn(list(short.values()))
+        known = self.known
+        return [sum([known[w] for w in short[i]]) if i in short else self.long(t) for i, t in enumerate(texts)]
 
 
 _counters: dict[tuple, Counter] = {}
