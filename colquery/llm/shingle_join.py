@@ -309,12 +309,15 @@ def components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     side = lambda p: [F.col(c).alias(p + c) for c in ("node", "n", "pos", "comp", "l", "outside")]
     left, right = placed.where("outside").select("tok", *side("a_")), placed.select("tok", *side("b_"))
     pairs = left.join(right, "tok").where("a_comp <> b_comp AND (NOT b_outside OR a_node < b_node) AND 100 * least(a_n, b_n) >= 80 * greatest(a_n, b_n)")
+    # Which node is a_ depends on the list's largest component: in node order all lists of a pair count together.
+    ordered = lambda p, q: [F.when(F.col("a_node") < F.col("b_node"), F.col(p + c)).otherwise(F.col(q + c)).alias(p + c) for c in ("node", "n", "pos", "l")]
+    pairs = pairs.select("tok", *ordered("a_", "b_"), *ordered("b_", "a_"))
     # The lemma with the pair's own least overlap: tighter than either node's prefix.
     room = f" - {_sql_overlap('a_n', 'b_n')} + least(a_l, b_l)"
     within = F.expr(f"a_pos <= a_n{room} AND b_pos <= b_n{room}")
     pairs = pairs.where(within).groupBy("a_node", "b_node", "a_n", "b_n", "a_l", "b_l").agg(F.countDistinct("tok").alias("k"), F.min("a_pos").alias("pa"), F.min("b_pos").alias("pb"))
     pairs = pairs.where(f"k >= least(a_l, b_l) AND 1 + least(a_n - pa, b_n - pb) >= {_sql_overlap('a_n', 'b_n')}")
-    pairs = pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).join(star, ["a", "b"], "left_anti")
     pairs = materialize(spark, pairs, "pairs")
     more = _verified(spark, pairs, arrays_for(pairs, arrays))
     labels = connected(spark, links.unionByName(more)) if not more.isEmpty() else labels

@@ -66,6 +66,25 @@ def test_join_equals_all_pairs(spark, monkeypatch, seed, finish, broadcast):
     assert sorted(map(key, map(tuple, got))) == sorted(map(key, components(docs)))
 
 
+def bridged_groups(structures=20, size=18):
+    """Each structure is two groups whose cores alone link: they share just what a link needs, behind their groups' rare words."""
+    rng, texts = random.Random(4), []
+    for n in range(structures):
+        shared = [f"h{n}-{i}" for i in range(80)]
+        for group in "pq":
+            rare = [f"{group}{n}-{i}" for i in range(10)]
+            texts.append(" ".join(rare + shared))
+            texts += [" ".join(rng.sample(rare, 7) + rng.sample(shared, 72)) for _ in range(size)]
+    return list(enumerate(texts))
+
+
+def test_join_counts_all_lists_of_a_bridge(spark):
+    docs = bridged_groups()
+    got = shingle_join.components(spark, spark.createDataFrame(docs, "doc_id long, text string"), words=1).collect()
+    of = len(docs) // 20
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i // of * of) for i, _ in docs]
+
+
 def test_join_odd_and_empty(spark, odd, empty):
     assert shingle_join.components(spark, odd).count() == odd.count()
     assert shingle_join.components(spark, empty).count() == 0
