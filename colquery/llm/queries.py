@@ -15,7 +15,7 @@ from .native import word_count
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shingle_join.components(spark, table(spark, sf_dir, "documents"))
+    return shingle_join.components(spark, table(spark, sf_dir, "documents"), links=True)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

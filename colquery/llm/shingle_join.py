@@ -21,11 +21,17 @@ tokens or more, the first (size - t + l) tokens of each share at least l. So
    component against all, pass length, prefix, position and match count filters
    and are verified. A large group of near copies thus costs its size times
    ``LEADERS``, not its square, and no link between components is missed;
-5. verification intersects whole sets.
+5. verification intersects whole sets;
+6. with ``links`` every link is counted. All links lie within components, and a
+   component of up to two nodes holds just the known one. Of a larger one all
+   pairs of nodes are compared, block by block of up to about ``LINK_ROWS``
+   nodes or ``LINK_TOKENS`` tokens, as products of 0/1 matrices. This costs the
+   square of the component's size in work, and its size times its blocks in rows.
 
 The result has one row per input row: doc_id, n_shingles, component_id (the
-smallest doc_id reachable, null only if all of the component are null) and
-linked (whether another document is in the component). Null text, empty text
+smallest doc_id reachable, null only if all of the component are null), linked
+(whether another document is in the component) and, with ``links``, n_links (how
+many other rows it links with, copies included). Null text, empty text
 and text without words give 0 shingles and link with nothing. Fewer than five
 words are one shingle. Repeated rows and equal texts are in one component. Rows
 with a null doc_id link like others. Hash collisions (64 bits) aren't checked.
@@ -37,7 +43,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialize, text_of
+from .common import map_batches, materialize, one_thread, text_of
 
 WORDS, MAX_MATCH, LEADERS, HOT, VERIFY_COST, SMALL = 5, 3, 3, 24, 8.0, 20
 _MIX, _FIN1, _FIN2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -257,7 +263,78 @@ def _verified(spark, pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return materialize(spark, both.where(inter * 180 >= sizes * 80).select("a", "b"), "links")
 
 
-def components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+#: Nodes and tokens of a block, on average, when links within a component are counted, and tokens that are multiplied at a time.
+LINK_ROWS, LINK_TOKENS, LINK_STEP = 512, 1 << 21, 4096
+
+
+def _block_links(lo: int, hi: int, weight: np.ndarray, block: np.ndarray, sizes: np.ndarray, toks: np.ndarray) -> np.ndarray:
+    """Per node the weight of those it links with, between the blocks ``lo`` and ``hi`` of one component."""
+    _, tok, times = np.unique(toks, return_inverse=True, return_counts=True)
+    common = times > 1
+    row, tok = np.repeat(np.arange(len(sizes)), sizes)[common[tok]], (np.cumsum(common) - 1)[tok[common[tok]]]
+    order = np.argsort(tok, kind="stable")
+    row, tok = row[order], tok[order]
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    both = np.zeros((len(left), len(right)), np.float32)
+    width = int(common.sum())
+    for at in range(0, width, LINK_STEP):
+        a, b = np.searchsorted(tok, [at, at + LINK_STEP])
+        ones = np.zeros((len(sizes), min(LINK_STEP, width - at)), np.float32)
+        ones[row[a:b], tok[a:b] - at] = 1
+        both += ones[left] @ ones[right].T
+    link = 9 * both.astype(np.int64) >= 4 * (sizes[left][:, None] + sizes[right][None])
+    out = np.zeros(len(sizes), np.int64)
+    if lo == hi:
+        np.fill_diagonal(link, False)
+        out[left] = link @ weight[right]
+    else:
+        out[left], out[right] = link @ weight[right], weight[left] @ link
+    return out
+
+
+def _link_counts(spark: SparkSession, named: DataFrame, arrays: DataFrame) -> DataFrame:
+    """(node, k) for the nodes of components of three nodes or more: the rows, other than one of its own, that each links with."""
+    nodes = materialize(spark, named.where("comp IS NOT NULL").groupBy("comp", "node").agg(F.max("n").alias("n"), F.count("*").alias("c")), "link-nodes")
+    large = nodes.groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("t")).where("m > 2")
+    blocks = F.expr(f"least(m, greatest(ceil(m / {LINK_ROWS}), ceil(t / {LINK_TOKENS})))").alias("blocks")
+    large = _side(materialize(spark, large.select(F.col("comp").alias("__comp"), blocks), "link-blocks"))
+    nodes = materialize(spark, nodes.join(large, F.col("comp") == F.col("__comp")).select("comp", "node", "c", "blocks", F.expr("pmod(xxhash64(node), blocks)").alias("block")), "link-nodes")
+    sets = arrays.join(_side(nodes), "node").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sets = sets.select("comp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "c", "block", "toks")
+    sets = sets.repartition("comp", "lo", "hi").sortWithinPartitions("comp", "lo", "hi")
+
+    def run(batches):
+        import pyarrow as pa
+
+        one_thread()
+        key, held = None, []
+
+        def done():
+            node, weight, block, sizes, toks = (np.concatenate(x) for x in zip(*held, strict=True))
+            return pa.RecordBatch.from_pydict({"node": node, "k": _block_links(key[1], key[2], weight, block, sizes, toks)})
+
+        for b in batches:
+            comp, lo, hi, node, c, block = (b.column(i).to_numpy() for i in range(6))
+            sizes, toks = b.column(6).value_lengths().to_numpy().astype(np.int64), b.column(6).flatten().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            new = np.flatnonzero((comp[1:] != comp[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            for x, y in zip([0, *new], [*new, len(comp)], strict=True):
+                if x == y:
+                    continue
+                at = (int(comp[x]), int(lo[x]), int(hi[x]))
+                if held and at != key:
+                    yield done()
+                    held = []
+                key = at
+                held.append((node[x:y], c[x:y], block[x:y], sizes[x:y], toks[ends[x] : ends[y]]))
+        if held:
+            yield done()
+
+    found = sets.mapInArrow(run, "node long, k long").groupBy("node").agg(F.sum("k").alias("k"))
+    return materialize(spark, nodes.select("node", "c").join(found, "node").select("node", (F.col("k") + F.col("c") - 1).alias("k")), "link-counts")
+
+
+def components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, links: bool = False) -> DataFrame:
     sig = materialize(spark, signatures(docs, id_col, text_col, words), "signatures")
     copied = sig.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select(F.col("node").alias("__node"), "rep")
     copied = _side(materialize(spark, copied, "copied"))
@@ -295,8 +372,8 @@ def components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
         return got if have is None else have.unionByName(got)
 
     arrays = arrays_for(star, None)
-    links = _verified(spark, star, arrays)
-    labels = connected(spark, links)
+    found = _verified(spark, star, arrays)
+    labels = connected(spark, found)
 
     # Then what the leaders leave open: pairs of different components within a list.
     placed = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(match, "node")
@@ -319,16 +396,22 @@ def components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
     pairs = pairs.where(f"k >= least(a_l, b_l) AND 1 + least(a_n - pa, b_n - pb) >= {_sql_overlap('a_n', 'b_n')}")
     pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).join(star, ["a", "b"], "left_anti")
     pairs = materialize(spark, pairs, "pairs")
-    more = _verified(spark, pairs, arrays_for(pairs, arrays))
-    labels = connected(spark, links.unionByName(more)) if not more.isEmpty() else labels
+    arrays = arrays_for(pairs, arrays)
+    more = _verified(spark, pairs, arrays)
+    labels = connected(spark, found.unionByName(more)) if not more.isEmpty() else labels
 
     named = sig.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
     named = materialize(spark, named, "named")
     firsts = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
-    many = firsts.where("size > 1").drop("size")
+    many = firsts.where("size > 1")
     out = named.join(many.withColumnRenamed("comp", "__comp"), F.col("comp") == F.col("__comp"), "left")
     alone = F.col("__comp").isNull()
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first")).alias("component_id"), (~alone).alias("linked"))
+    columns = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first")).alias("component_id"), (~alone).alias("linked")]
+    if links:
+        counts = _side(_link_counts(spark, named, arrays)).withColumnRenamed("node", "__node")
+        out = out.join(counts, F.col("node") == F.col("__node"), "left")
+        columns.append(F.when(alone, F.lit(0)).otherwise(F.coalesce("k", F.col("size") - 1)).alias("n_links"))
+    return out.select(*columns)
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:

@@ -13,7 +13,7 @@ from colquery.llm import language_id, mixing, packing, quality_gam, quality_rule
 from colquery.llm.native import word_count
 
 from ..compare import duck, spark_rows
-from .helpers import ODD_TEXTS, base_metrics, components, words
+from .helpers import ODD_TEXTS, base_metrics, components, shingle_set, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,6 +66,17 @@ def test_join_equals_all_pairs(spark, monkeypatch, seed, finish, broadcast):
     assert sorted(map(key, map(tuple, got))) == sorted(map(key, components(docs)))
 
 
+@pytest.mark.parametrize("rows,tokens", [(512, 1 << 21), (16, 1 << 21), (512, 700)])
+def test_join_counts_every_link(spark, monkeypatch, rows, tokens):
+    monkeypatch.setattr(shingle_join, "LINK_ROWS", rows)
+    monkeypatch.setattr(shingle_join, "LINK_TOKENS", tokens)
+    docs = near_copies(3)
+    sets = [shingle_set(t) for _, t in docs]
+    links = [sum(bool(a) and i != j and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = shingle_join.components(spark, spark.createDataFrame(docs, "doc_id long, text string"), links=True).select("doc_id", "n_links", "linked").collect()
+    assert sorted((-1 if d is None else d, k, k > 0) for (d, _), k in zip(docs, links, strict=True)) == sorted((-1 if r.doc_id is None else r.doc_id, r.n_links, r.linked) for r in got)
+
+
 def bridged_groups(structures=20, size=18):
     """Each structure is two groups whose cores alone link: they share just what a link needs, behind their groups' rare words."""
     rng, texts = random.Random(4), []
