@@ -96,6 +96,18 @@ def test_search_odd_rows(spark):
     assert lsh_search.search(spark, df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [3, 15, 30, 90])
+def test_search_fills_small_tables(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 6))
+    rows = [(20 * i, v.tolist()) for i, v in enumerate(x)] + [(20, (-x[1]).tolist())] * 3  # all are queries; one id has opposite vectors
+    got = {}
+    for r in lsh_search.search(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in range(0, 20 * n, 20):
+        found = got[q]
+        assert len(found) == len(set(found)) == min(20, n - 1) and q not in found
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("*", "1 AS score", "2 AS size")
     labels = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
