@@ -93,6 +93,7 @@ add("filter_varlena_projection", lambda s, d: ops.project(ops.filter_rows(view(s
 def _project(name: str, expr, duck: str) -> None:
     add(name, lambda s, d: ops.project(ops.filter_rows(view(s, d, OI), "id % 3 = 0"), id="id", x=expr() if callable(expr) else expr),
         f"SELECT id, CAST({duck} AS INT) AS x FROM ({OI}) WHERE id % 3 = 0")
+    add(f"{name}_whole", lambda s, d: ops.project(view(s, d, OI), id="id", x=expr() if callable(expr) else expr), f"SELECT id, CAST({duck} AS INT) AS x FROM ({OI})")
 
 
 _project("project_add", "v + 7", "v + 7")
@@ -183,6 +184,7 @@ _join("join_theta_residual", "k1,k2", "l.v < r.v")
 _join("join_scalar_residual", "k1", "(l.v + r.v) % 3 = 0")
 _join("join_null_keys", "k1", where="l.k1 IS NULL OR r.k1 IS NULL")
 _join("join_duplicates", "k2", "l.v % 50 = 0 AND r.v % 33 = 0")
+_join("join_duplicates_whole", "k2")
 _join("join_no_match", "k1", "l.k1 < 0")
 _join("join_left", "k1", how="left")
 _join("join_right", "k1", how="right")
@@ -196,6 +198,9 @@ add("join_output_expr", lambda s, d: ops.equi_join(*_sides(s, d), [("k1", "k1"),
 add("join_chain", lambda s, d: ops.equi_join(ops.equi_join(*_sides(s, d), [("k1", "k1")]).selectExpr("l.v AS v", "r.v AS w", "l.k2 AS k2"), view(s, d, OI).where("id < 500"), [("w", "id")])
     .agg(F.expr("count(*)").alias("n"), F.expr("sum(l.v + r.g)").alias("s")),
     f"SELECT count(*) AS n, CAST(sum(l.v + o.g) AS BIGINT) AS s FROM ({JO}) l JOIN ({JI}) r ON l.k1 = r.k1 JOIN ({OI}) o ON r.v = o.id WHERE o.id < 500")
+add("join_chain_whole", lambda s, d: ops.equi_join(ops.equi_join(*_sides(s, d), [("k1", "k1")]).selectExpr("l.v AS v", "r.v AS w", "l.k2 AS k2"), view(s, d, OI), [("w", "id")])
+    .agg(F.expr("count(*)").alias("n"), F.expr("sum(l.v + r.g)").alias("s")),
+    f"SELECT count(*) AS n, CAST(sum(l.v + o.g) AS BIGINT) AS s FROM ({JO}) l JOIN ({JI}) r ON l.k1 = r.k1 JOIN ({OI}) o ON r.v = o.id")
 VALS = "(VALUES (1, 100), (2, 200), (3, 300)) AS x(k, payload)"
 add("join_values", lambda s, d: ops.equi_join(view(s, d, JO), s.sql(f"SELECT * FROM {VALS}"), [("k1", "k")]).selectExpr("l.v AS v", "r.payload AS payload"),
     f"SELECT l.v AS v, x.payload AS payload FROM ({JO}) l JOIN {VALS} ON l.k1 = x.k")
@@ -230,6 +235,7 @@ add("limit_over_join", lambda s, d: ops.limit_offset(ops.equi_join(view(s, d, OI
     f"SELECT l.id AS id, r.k1 AS k1 FROM ({OI}) l JOIN ({JI}) r ON l.id = r.v ORDER BY 1 LIMIT 20 OFFSET 5")
 add("limit_early_stop_count", lambda s, d: ops.limit_offset(ops.filter_rows(view(s, d, OI), "id > 10"), 1).agg((F.count("*") == 1).alias("one")), f"SELECT count(*) = 1 AS one FROM (SELECT 1 FROM ({OI}) WHERE id > 10 LIMIT 1)")
 add("order_by_nulls", lambda s, d: ops.limit_offset(view(s, d, OI).select("id", "v"), 40, 3, order_by=[F.col("v").asc_nulls_last(), "id"]), f"SELECT id, v FROM ({OI}) ORDER BY v NULLS LAST, id LIMIT 40 OFFSET 3")
+add("order_by_nulls_whole", lambda s, d: ops.limit_offset(view(s, d, OI).select("id", "v"), order_by=[F.col("v").asc_nulls_last(), "id"]), f"SELECT id, v FROM ({OI}) ORDER BY v NULLS LAST, id")
 
 # --- set operations -------------------------------------------------------
 _A, _B = f"SELECT v, g FROM ({OI}) WHERE id % 2 = 0", f"SELECT v, g FROM ({OI}) WHERE id % 3 = 0"
@@ -239,6 +245,14 @@ add("set_union_all", lambda s, d: ops.union_all(_a(s, d), _b(s, d)), f"{_A} UNIO
 add("set_except_all", lambda s, d: ops.except_all(_a(s, d), _b(s, d)), f"{_A} EXCEPT ALL {_B}")
 add("set_not_exists", lambda s, d: ops.not_exists(view(s, d, OI).select("id", "v"), _b(s, d).select(F.col("v").alias("w")), [("v", "w")]), f"SELECT id, v FROM ({OI}) o WHERE NOT EXISTS (SELECT 1 FROM ({_B}) b WHERE b.v = o.v)")
 add("scalar_subquery", lambda s, d: view(s, d, OI).crossJoin(F.broadcast(view(s, d, OI).agg(F.max("v").alias("hi")))).where("id % 50 = 0").select("id", "hi"), f"SELECT id, (SELECT max(v) FROM ({OI})) AS hi FROM ({OI}) WHERE id % 50 = 0")
+#: The same over whole tables: two projections of all rows.
+_WA, _WB = f"SELECT v, g FROM ({OI})", f"SELECT g AS v, CAST(s * 7 AS INT) AS g FROM ({OI})"
+_wa = lambda s, d: view(s, d, OI).select("v", "g")
+_wb = lambda s, d: view(s, d, OI).selectExpr("g AS v", "CAST(s * 7 AS INT) AS g")
+add("set_union_all_whole", lambda s, d: ops.union_all(_wa(s, d), _wb(s, d)), f"{_WA} UNION ALL {_WB}")
+add("set_except_all_whole", lambda s, d: ops.except_all(_wa(s, d), _wb(s, d)), f"{_WA} EXCEPT ALL {_WB}")
+add("set_not_exists_whole", lambda s, d: ops.not_exists(view(s, d, OI).select("id", "v"), view(s, d, OI).selectExpr("g * 2 AS w"), [("v", "w")]), f"SELECT id, v FROM ({OI}) o WHERE NOT EXISTS (SELECT 1 FROM (SELECT g * 2 AS w FROM ({OI})) b WHERE b.w = o.v)")
+add("scalar_subquery_whole", lambda s, d: view(s, d, OI).crossJoin(F.broadcast(view(s, d, OI).agg(F.max("v").alias("hi")))).select("id", "hi"), f"SELECT id, (SELECT max(v) FROM ({OI})) AS hi FROM ({OI})")
 
 
 # --- sources --------------------------------------------------------------
