@@ -1,4 +1,4 @@
-"""Operator and source registries, engine switches and plan counters."""
+"""Plan counters, and registries and engine switches that nothing uses yet."""
 
 from .config import EngineConfig
 from .counters import plan_counters

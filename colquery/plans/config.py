@@ -1,4 +1,4 @@
-"""Engine switches, mapped to options of our operators and sources."""
+"""Engine switches by name. No operator or source reads them yet."""
 
 from __future__ import annotations
 
