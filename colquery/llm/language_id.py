@@ -124,7 +124,7 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_TRAIN) -> Model | None:
-    """At most ``max_rows`` rows of each of the MAX_LANGUAGES commonest languages, by smallest hash.
+    """At most ``max_rows`` rows of every language, by smallest hash; fewer of each beyond MAX_LANGUAGES languages, so the sum stays.
 
     Ids are drawn first, so texts aren't sorted; the ids that are broadcast have that bound.
     """
@@ -133,15 +133,16 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     part = ids.withColumn("__part", F.pmod("__h", F.lit(64)))  # a first cut by part, so that no language is one task's
     few = part.withColumn("__r", F.row_number().over(Window.partitionBy("lang", "__part").orderBy("__h", "__id"))).where(F.col("__r") <= max_rows)
     few = few.withColumn("__r", F.row_number().over(Window.partitionBy("lang").orderBy("__h", "__id"))).where(F.col("__r") <= max_rows)
-    langs = [r["lang"] for r in few.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    few = few.where(F.col("lang").isin(langs)).select("__id", F.col("lang").alias("__lang"))
+    known = few.select("lang").distinct().count()
+    each = max(1, min(max_rows, max_rows * MAX_LANGUAGES // max(1, known)))
+    few = few.where(F.col("__r") <= each).select("__id", F.col("lang").alias("__lang"))
     joined = rows.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(few), "__id").where("lang = __lang")
 
     def run(c):
         keep = [i for i, t in enumerate(c["text"]) if has_letter(t)]
         return {"lang": [c["lang"][i] for i in keep], "x": [vector(text_of(c["text"][i])).astype(np.float32) for i in keep]}
 
-    got = map_batches(joined.select("text", "lang"), run, "lang string, x array<float>").limit(2 * max_rows * MAX_LANGUAGES).toArrow()
+    got = map_batches(joined.select("text", "lang"), run, "lang string, x array<float>").limit(2 * each * max(1, known)).toArrow()
     if not got.num_rows:
         return None
     x = np.vstack([np.asarray(c.flatten()).reshape(-1, DIMS) for c in got.column("x").chunks if len(c)]).astype(np.float32)

@@ -133,6 +133,13 @@ def test_gam_finds_an_interaction():
     assert (0, 1) in model.pairs and ((model.score(x) > 0.5) == y).mean() > 0.9
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+    rows = [(100 * i + k, f"{x * 4} {x * 6} w{k}", f"l{x}") for i, x in enumerate("abcdefg") for k in range(20)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=10)
+    assert sorted(n for names in model.langs.values() for n in names) == [f"l{x}" for x in "abcdefg"]
+
+
 def test_language_held_out(spark, odd, empty):
     rows = queries.op9_language_id(spark, "/root/testdata/sf0.01").collect()
     lang = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
