@@ -273,6 +273,13 @@ add("snapshot_prune_stats", lambda s, d: prune_stats(s, _snapshot(s, d), [("s",
     f"SELECT count(*) AS groups_examined, count(*) FILTER (WHERE hi <= 5000) AS skipped_min_max, count(*) FILTER (WHERE hi > 5000) AS skipped_membership, CAST(0 AS BIGINT) AS rows_out FROM (SELECT grp, max(id) AS hi FROM ({_NUM}) GROUP BY grp)")
 add("snapshot_encoding_stats", lambda s, d: encoding_stats(s, _snapshot(s, d)).where("col IN ('id', 's')").groupBy("col").agg(F.sum("batches").alias("batches")),
     f"SELECT c AS col, CAST((n + 63) // 64 AS BIGINT) AS batches FROM (SELECT count(*) AS n FROM ({OI})), (VALUES ('id'), ('s')) x(c)")
+_CELLS = " UNION ALL ".join(f"SELECT '{c}' AS col, r, r // 64 AS b, {c} AS v FROM n" for c in ("id", "v", "g", "s"))
+add("snapshot_encoding_choice", lambda s, d: encoding_stats(s, _snapshot(s, d)),
+    f"WITH n AS (SELECT row_number() OVER (ORDER BY id) - 1 AS r, id, v, g, s FROM ({OI})), c AS ({_CELLS}), "
+    "f AS (SELECT col, r, b, CAST(coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY col, b ORDER BY r), 0) AS BIGINT) AS x FROM c), "
+    "d AS (SELECT col, b, x - lag(x) OVER (PARTITION BY col, b ORDER BY r) AS d FROM f), "
+    "w AS (SELECT col, b, coalesce(min(d), 0) AS lo, coalesce(max(d), 0) AS hi FROM d GROUP BY col, b) "
+    "SELECT col, CASE WHEN lo >= -128 AND hi <= 127 THEN 'DELTA8' WHEN lo >= -32768 AND hi <= 32767 THEN 'DELTA16' ELSE 'PLAIN' END AS encoding, count(*) AS batches FROM w GROUP BY 1, 2")
 
 
 def _arrow(s: SparkSession, d: str) -> str:

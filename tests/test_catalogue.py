@@ -24,3 +24,8 @@ def test_whole_tables_are_read(spark):
     assert CATALOGUE["set_union_all_whole"][0](spark, SF).count() == 2 * rows
     values = [r.v for r in CATALOGUE["order_by_nulls_whole"][0](spark, SF).collect()]
     assert len(values) == rows and None in values and values == sorted(values, key=lambda v: (v is None, v or 0))
+
+
+def test_encoding_choice_of_all_columns(spark):
+    rows = CATALOGUE["snapshot_encoding_choice"][0](spark, SF).collect()
+    assert {r.col for r in rows} == {"id", "v", "g", "s"} and {r.encoding for r in rows} <= {"DELTA8", "DELTA16", "PLAIN"}
