@@ -20,7 +20,11 @@ tokens or more, the first (size - t + l) tokens of each share at least l. So
    in each list all pairs of different components, outside the list's largest
    component against all, pass length, prefix, position and match count filters
    and are verified. A large group of near copies thus costs its size times
-   ``LEADERS``, not its square, and no link between components is missed;
+   ``LEADERS``, not its square, and no link between components is missed. Of a
+   pair the smaller set must hold the token in the shorter prefix that
+   overlap with a set no smaller asks for (n - ceil(8/9 n) + l), checked before
+   pairing, so texts that share a passage but not enough of it aren't paired.
+   That side of a list is dealt out in blocks of ``LIST_ROWS`` rows;
 5. verification intersects whole sets;
 6. with ``links`` every link is counted. All links lie within components, and a
    component of up to two nodes holds just the known one. Of a larger one all
@@ -34,18 +38,23 @@ smallest doc_id reachable, null only if all of the component are null), linked
 many other rows it links with, copies included). Null text, empty text
 and text without words give 0 shingles and link with nothing. Fewer than five
 words are one shingle. Repeated rows and equal texts are in one component. Rows
-with a null doc_id link like others. Hash collisions (64 bits) aren't checked.
+with a null doc_id link like others. Ids may be repeated or null with different
+texts: a row is known by the hash of its id and text, so each text is fetched
+and decided on its own. Hash collisions (64 bits) aren't checked.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import discard, scratch
 from .common import map_batches, materialize, one_thread, text_of
 
 WORDS, MAX_MATCH, LEADERS, HOT, VERIFY_COST, SMALL = 5, 3, 3, 24, 8.0, 20
+#: Rows of the smaller sets of a list that one task pairs with the list.
+LIST_ROWS = 2048
 _MIX, _FIN1, _FIN2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -90,11 +99,16 @@ def _sql_overlap(a: str, b: str) -> str:
     return f"((4 * ({a} + {b}) + 8) div 9)"
 
 
+def row_key(doc: Column, text: Column) -> Column:
+    """One long for each distinct (id, text), nulls included."""
+    return F.xxhash64(doc, doc.isNull(), text, text.isNull())
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """doc_id, n, node, and the first tokens by hash: the prefix and some more in case of hot ones."""
+    """doc_id, row, n, node, and the first tokens by hash: the prefix and some more in case of hot ones."""
 
     def run(c):
-        out = {"doc_id": c["doc_id"], "n": [], "node": [], "toks": []}
+        out = {"doc_id": c["doc_id"], "row": c["row"], "n": [], "node": [], "toks": []}
         for t in c["text"]:
             s = shingles(text_of(t), words)
             p = _probe(len(s)) if len(s) else 0
@@ -104,24 +118,27 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataF
         return out
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, f"doc_id {kind}, n int, node long, toks array<long>")
+    doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    return map_batches(docs.select(doc.alias("doc_id"), row_key(doc, text).alias("row"), text.alias("text")), run, f"doc_id {kind}, row long, n int, node long, toks array<long>")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """node, toks (all of them) for the wanted (node, rep): texts are fetched by document id and hashed again."""
-    want = _side(wanted).select(F.col("rep").alias("__rep"), F.col("node").alias("__node"))
-    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(want, F.col("__id").eqNullSafe(F.col("__rep"))).select("__node", "text")
+    """node, toks (all of them) for the wanted (node, rep): texts are fetched by their row key and hashed again, each once a task."""
+    want = _side(wanted.select(F.col("rep").alias("__rep"), F.col("node").alias("__node")))
+    doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    found = docs.select(row_key(doc, text).alias("__row"), text.alias("text")).join(want, F.col("__row") == F.col("__rep")).select("__node", "text")
+    seen: set[int] = set()  # copies of one row; a task's own, as the function is sent to each
 
     def run(c):
         out = {"node": [], "toks": []}
         for node, t in zip(c["__node"], c["text"], strict=True):
-            s = shingles(text_of(t), words)
-            if len(s) and node_of(s) == node:  # an id may be repeated with another text
+            if node not in seen:
+                seen.add(node)
                 out["node"].append(node)
-                out["toks"].append(s)
+                out["toks"].append(shingles(text_of(t), words))
         return out
 
-    return map_batches(found, run, "node long, toks array<long>")
+    return map_batches(found, run, "node long, toks array<long>").dropDuplicates(["node"])
 
 
 #: Edges up to which a graph is finished in one task; a larger one is contracted first, round by round.
@@ -193,9 +210,15 @@ def connected(spark: SparkSession, edges: DataFrame) -> DataFrame:
 MAX_BROADCAST = 500_000
 
 
+#: Characters of all strings of such a side.
+MAX_BROADCAST_TEXT = 16 << 20
+
+
 def _side(df: DataFrame) -> DataFrame:
-    """A written table, broadcast if its counted size allows it."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+    """A written table, broadcast if its counted rows, and the characters of its strings, allow it."""
+    texts = [F.coalesce(F.length(f.name), F.lit(0)).cast("long") for f in df.schema if f.dataType.typeName() == "string"]
+    got = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(sum(texts, F.lit(0).cast("long"))), F.lit(0)).alias("c")).first()
+    return F.broadcast(df) if got["n"] <= MAX_BROADCAST and got["c"] <= MAX_BROADCAST_TEXT else df
 
 
 def _prefix_lists(spark, docs, reps, id_col, text_col, words) -> DataFrame:
@@ -223,8 +246,8 @@ def _prefix_lists(spark, docs, reps, id_col, text_col, words) -> DataFrame:
         wanted = places.where("short").select("node")
         if have is not None:
             wanted = wanted.join(have.select("node"), "node", "left_anti")
-        wanted = rep_of.join(_side(materialize(spark, wanted, "short")), "node").dropDuplicates(["node"])
-        return materialize(spark, whole_sets(docs, materialize(spark, wanted, "short-reps"), id_col, text_col, words).dropDuplicates(["node"]), "short-sets")
+        wanted = rep_of.join(_side(materialize(spark, wanted, "short")), "node")
+        return materialize(spark, whole_sets(docs, materialize(spark, wanted, "short-reps"), id_col, text_col, words), "short-sets")
 
     hot_rows = shared.where("hot")
     places = hot_places(hot_rows)
@@ -334,13 +357,54 @@ def _link_counts(spark: SparkSession, named: DataFrame, arrays: DataFrame) -> Da
     return materialize(spark, nodes.select("node", "c").join(found, "node").select("node", (F.col("k") + F.col("c") - 1).alias("k")), "link-counts")
 
 
-def components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, links: bool = False) -> DataFrame:
+def components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, links: bool = False, keys: bool = False) -> DataFrame:
+    """One row per input row as said above; with ``keys`` also row (its id's and text's hash) and group (any id of the component, null for lone rows)."""
+    with scratch(spark) as made:
+        return _components(spark, made, docs, id_col, text_col, words, links, keys)
+
+
+def _representatives(spark: SparkSession, sig: DataFrame) -> DataFrame:
+    """One row per node: node, n, toks, rep (the row key by which its text can be fetched)."""
+    some = sig.where("n > 0")
+    copied = some.groupBy("node").agg(F.min("row").alias("rep"), F.count("*").alias("c")).where("c > 1").select(F.col("node").alias("__node"), "rep")
+    copied = materialize(spark, copied, "copied")
+    reps = some.join(_side(copied), F.col("node") == F.col("__node"), "left").where("__node IS NULL OR row = rep")
+    if reps.where("__node IS NOT NULL").count() > copied.count():  # rows repeated in id and text
+        again = reps.where("__node IS NOT NULL").dropDuplicates(["node"])
+        reps = materialize(spark, reps.where("__node IS NULL").unionByName(again), "representatives")
+    return reps.select("node", "n", "toks", F.col("row").alias("rep"))
+
+
+def _open_pairs(lists: DataFrame, labels: DataFrame, match: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """What the leaders leave open: pairs (a, b) of different components that share enough prefix tokens; and the table to discard."""
+    probe = F.expr(_sql_probe("n"))
+    placed = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(match, "node")
+    placed = placed.where(F.col("pos") <= probe + F.col("l") - 1).select("tok", "node", "n", "pos", "comp", "l", F.expr("pos <= n - (8 * n + 8) div 9 + l").alias("small"))
+    open_ = placed.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("small").alias("any")).where("x <> y AND any").select("tok")
+    placed = materialize(spark, placed.join(open_, "tok"), "open")
+    shares = placed.groupBy("tok", "comp").agg(F.count("*").alias("c"), F.count_if("small").alias("s"))
+    blocks = F.ceil(F.sum("s") / LIST_ROWS).cast("int")
+    main = shares.groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("m"), F.greatest(blocks, F.lit(1)).alias("blocks")).select("tok", F.col("m.comp").alias("main"), "blocks")
+    placed = placed.join(main, "tok").withColumn("outside", F.col("comp") != F.col("main"))
+    side = lambda p: [F.col(c).alias(p + c) for c in ("node", "n", "pos", "comp", "l")]
+    # Smaller sets outside the largest component meet all, those within it meet the others: never two of it.
+    small = placed.where("small").select("tok", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("block"), F.explode(F.expr("if(outside, array(true, false), array(true))")).alias("other"), *side("a_"))
+    every = placed.select("tok", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("outside").alias("other"), *side("b_"))
+    room = f" - {_sql_overlap('a_n', 'b_n')} + least(a_l, b_l)"  # the lemma with the pair's own least overlap
+    pairs = small.join(every, ["tok", "block", "other"]).where(
+        "a_comp <> b_comp AND (a_n < b_n OR a_n = b_n AND a_node < b_node) AND 100 * a_n >= 80 * b_n AND "
+        f"a_pos <= a_n{room} AND b_pos <= b_n{room}")
+    pairs = pairs.groupBy("a_node", "b_node", "a_n", "b_n", "a_l", "b_l").agg(F.countDistinct("tok").alias("k"), F.min("a_pos").alias("pa"), F.min("b_pos").alias("pb"))
+    pairs = pairs.where(f"k >= least(a_l, b_l) AND 1 + least(a_n - pa, b_n - pb) >= {_sql_overlap('a_n', 'b_n')}")
+    return pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")), placed
+
+
+def _components(spark, made, docs, id_col, text_col, words, links, keys) -> DataFrame:
     sig = materialize(spark, signatures(docs, id_col, text_col, words), "signatures")
-    copied = sig.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").select(F.col("node").alias("__node"), "rep")
-    copied = _side(materialize(spark, copied, "copied"))
-    reps = sig.where("n > 0").join(copied, F.col("node") == F.col("__node"), "left")
-    reps = reps.where("__node IS NULL OR doc_id <=> rep").select("node", "n", "toks", F.col("doc_id").alias("rep"))
-    lists = _prefix_lists(spark, docs, reps, id_col, text_col, words)
+    reps = _representatives(spark, sig)
+    with scratch(spark) as within:
+        lists = _prefix_lists(spark, docs, reps, id_col, text_col, words)
+        within.keep(lists)
 
     # Adaptive match counts: per node the l whose entries plus expected verifications cost least.
     probe = F.expr(_sql_probe("n"))
@@ -367,59 +431,63 @@ def components(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id",
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         if have is not None:
             nodes = nodes.join(have.select("node"), "node", "left_anti")
-        wanted = rep_of.join(_side(materialize(spark, nodes, "nodes")), "node").dropDuplicates(["node"])
-        got = materialize(spark, whole_sets(docs, materialize(spark, wanted, "wanted"), id_col, text_col, words).dropDuplicates(["node"]), "sets")
+        wanted = rep_of.join(_side(materialize(spark, nodes, "nodes")), "node")
+        got = materialize(spark, whole_sets(docs, materialize(spark, wanted, "wanted"), id_col, text_col, words), "sets")
         return got if have is None else have.unionByName(got)
 
     arrays = arrays_for(star, None)
     found = _verified(spark, star, arrays)
     labels = connected(spark, found)
 
-    # Then what the leaders leave open: pairs of different components within a list.
-    placed = lists.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(match, "node")
-    placed = placed.where(F.col("pos") <= probe + F.col("l") - 1)
-    open_ = placed.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("tok")
-    placed = materialize(spark, placed.join(open_, "tok"), "open")
-    shares = placed.groupBy("tok", "comp").agg(F.count("*").alias("c"))
-    main = shares.groupBy("tok").agg(F.max(F.struct("c", "comp")).alias("m")).select("tok", F.col("m.comp").alias("main"))
-    placed = placed.join(main, "tok").withColumn("outside", F.col("comp") != F.col("main"))
-    side = lambda p: [F.col(c).alias(p + c) for c in ("node", "n", "pos", "comp", "l", "outside")]
-    left, right = placed.where("outside").select("tok", *side("a_")), placed.select("tok", *side("b_"))
-    pairs = left.join(right, "tok").where("a_comp <> b_comp AND (NOT b_outside OR a_node < b_node) AND 100 * least(a_n, b_n) >= 80 * greatest(a_n, b_n)")
-    # Which node is a_ depends on the list's largest component: in node order all lists of a pair count together.
-    ordered = lambda p, q: [F.when(F.col("a_node") < F.col("b_node"), F.col(p + c)).otherwise(F.col(q + c)).alias(p + c) for c in ("node", "n", "pos", "l")]
-    pairs = pairs.select("tok", *ordered("a_", "b_"), *ordered("b_", "a_"))
-    # The lemma with the pair's own least overlap: tighter than either node's prefix.
-    room = f" - {_sql_overlap('a_n', 'b_n')} + least(a_l, b_l)"
-    within = F.expr(f"a_pos <= a_n{room} AND b_pos <= b_n{room}")
-    pairs = pairs.where(within).groupBy("a_node", "b_node", "a_n", "b_n", "a_l", "b_l").agg(F.countDistinct("tok").alias("k"), F.min("a_pos").alias("pa"), F.min("b_pos").alias("pb"))
-    pairs = pairs.where(f"k >= least(a_l, b_l) AND 1 + least(a_n - pa, b_n - pb) >= {_sql_overlap('a_n', 'b_n')}")
-    pairs = pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).join(star, ["a", "b"], "left_anti")
-    pairs = materialize(spark, pairs, "pairs")
+    # Then what they leave open.
+    pairs, placed = _open_pairs(lists, labels, match, spark)
+    pairs = materialize(spark, pairs.join(star, ["a", "b"], "left_anti"), "pairs")
+    discard(spark, lists, match, star, placed)
     arrays = arrays_for(pairs, arrays)
     more = _verified(spark, pairs, arrays)
     labels = connected(spark, found.unionByName(more)) if not more.isEmpty() else labels
 
-    named = sig.select("doc_id", "n", "node").join(labels, "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
+    named = sig.select("doc_id", "row", "n", "node").join(labels, "node", "left").withColumn("comp", F.when(F.col("n") > 0, F.coalesce("comp", "node")))
     named = materialize(spark, named, "named")
+    discard(spark, sig)
     firsts = named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("first"), F.count("*").alias("size"))
-    many = firsts.where("size > 1")
-    out = named.join(many.withColumnRenamed("comp", "__comp"), F.col("comp") == F.col("__comp"), "left")
+    # Written, so that a large component is a side of a join that can be split.
+    many = materialize(spark, firsts.where("size > 1").withColumnRenamed("comp", "__comp"), "groups")
+    made.keep(named, many)
+    out = named.join(_side(many), F.col("comp") == F.col("__comp"), "left")
     alone = F.col("__comp").isNull()
     columns = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("first")).alias("component_id"), (~alone).alias("linked")]
     if links:
-        counts = _side(_link_counts(spark, named, arrays)).withColumnRenamed("node", "__node")
-        out = out.join(counts, F.col("node") == F.col("__node"), "left")
+        with scratch(spark) as within:
+            counts = _link_counts(spark, named, arrays)
+            within.keep(counts)
+        made.keep(counts)
+        out = out.join(_side(counts).withColumnRenamed("node", "__node"), F.col("node") == F.col("__node"), "left")
         columns.append(F.when(alone, F.lit(0)).otherwise(F.coalesce("k", F.col("size") - 1)).alias("n_links"))
-    return out.select(*columns)
+    return out.select(*columns, *(["row", F.col("__comp").alias("group")] if keys else []))
 
 
 def one_per_group(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """``docs`` without the documents that link to one of smaller id; of repeated ids in a group one row stays."""
-    found = components(spark, docs, id_col=id_col, text_col=text_col, words=words)
-    gone = found.where("linked AND NOT doc_id <=> component_id").select(F.col("doc_id").alias("__gone")).where("__gone IS NOT NULL").distinct()
-    rest = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    again = found.where("linked AND doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("__again"))
-    again = rest.join(again, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col])
-    twice = again.select(F.col(id_col).alias("__again"))
-    return rest.join(twice, F.col(id_col) == F.col("__again"), "left_anti").unionByName(again)
+    """``docs`` without the documents that link to one of smaller id.
+
+    Of a component stays the row of smallest id (null ids last, then the
+    smallest hash of id and text); of rows equal in id and text one stays. Rows
+    that link to nothing all stay, whatever their id.
+    """
+    with scratch(spark) as made:
+        found = materialize(spark, components(spark, docs, id_col=id_col, text_col=text_col, words=words, keys=True).where("linked"), "linked")
+        place = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+        kept = materialize(spark, found.groupBy("group").agg(F.min(place).getField("row").alias("kept")).withColumnRenamed("group", "__group"), "kept")
+        rows = found.join(_side(kept), F.col("group") == F.col("__group")).groupBy("row").agg(F.max(F.col("row") == F.col("kept")).alias("stays"), F.count("*").alias("c"))
+        rows = materialize(spark, rows, "decided")
+        made.keep(rows)
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    doc, text = F.col(names[id_col]), F.col(names[text_col])
+    all_ = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    gone = rows.where("NOT stays OR c > 1").select(F.col("row").alias("__row"))
+    rest = all_.withColumn("__key", row_key(doc, text)).join(_side(gone), F.col("__key") == F.col("__row"), "left_anti").drop("__key")
+    again = rows.where("stays AND c > 1").select(F.col("row").alias("__row"))
+    if not again.isEmpty():
+        one = all_.withColumn("__key", row_key(doc, text)).join(_side(again), F.col("__key") == F.col("__row"), "left_semi").dropDuplicates(["__key"]).drop("__key")
+        rest = rest.unionByName(one)
+    return rest.select(*[F.col(n).alias(c) for c, n in names.items()])

@@ -60,6 +60,7 @@ def near_copies(seed):
 def test_join_equals_all_pairs(spark, monkeypatch, seed, finish, broadcast):
     monkeypatch.setattr(shingle_join, "FINISH_EDGES", finish)
     monkeypatch.setattr(shingle_join, "MAX_BROADCAST", broadcast)
+    monkeypatch.setattr(shingle_join, "LIST_ROWS", 5 if broadcast == 0 else 2048)
     docs = near_copies(seed)
     got = shingle_join.components(spark, spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
     key = lambda r: tuple(-1 if x is None else x for x in r)
@@ -103,6 +104,48 @@ def test_join_odd_and_empty(spark, odd, empty):
     assert sorted(x for x in kept if x is not None) == [0, 1, 2, 4, 6, 7, 8, 9, 10, 11] and kept.count(None) == 1
 
 
+def test_join_shared_and_null_ids(spark):
+    """One id, or none, on many different texts: nothing is lost, each text is decided on its own."""
+    rng = random.Random(8)
+    text = lambda n=30: " ".join(f"v{rng.randrange(3000)}" for _ in range(n))
+    one, two, three = text(), text(), text()
+    docs = [(1, one), (5, one), (5, two), (7, three), (3, two + " x"), (3, two + " x"), (None, three), (None, three), (None, text()), (5, one + " y")]
+    frame = spark.createDataFrame([(*d, k, "g") for k, d in enumerate(docs)], "doc_id long, text string, __gone int, __key string")
+    got = shingle_join.components(spark, frame, links=True).select("doc_id", "n_shingles", "component_id").collect()
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(map(key, got)) == sorted(map(key, components(docs)))
+    kept = shingle_join.one_per_group(spark, frame)
+    assert kept.columns == frame.columns
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in kept.collect()) == sorted([(1, one), (3, two + " x"), (7, three), (-1, docs[8][1])])
+    alone = spark.createDataFrame([(3, one), (3, one), (3, two)], "doc_id long, text string")
+    assert sorted(r.text for r in shingle_join.one_per_group(spark, alone).collect()) == sorted([one, two])
+
+
+def test_join_many_texts_of_one_id(spark, monkeypatch):
+    """5,000 texts without an id, and as many of one id: fetched texts grow with the rows, not with their square."""
+    rng = random.Random(9)
+    texts = [" ".join(f"v{rng.randrange(60)}" for _ in range(12)) for _ in range(5000)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(7, t) for t in texts], "doc_id long, text string")
+    fetched = []
+    kept = shingle_join.whole_sets
+    monkeypatch.setattr(shingle_join, "whole_sets", lambda *a: fetched.append(a[1].count()) or kept(*a))
+    got = shingle_join.components(spark, docs).groupBy("component_id").count().collect()
+    assert {r.component_id for r in got} == {7} and sum(r["count"] for r in got) == 10_000
+    assert sum(fetched) <= 4 * 5000
+
+
+def test_shared_passage_makes_no_pairs(spark, monkeypatch):
+    """Texts that share a passage, but less of it than a link needs, aren't paired with each other."""
+    rng = random.Random(10)
+    passage = " ".join(f"p{i}" for i in range(54))
+    docs = spark.createDataFrame([(i, passage + " " + " ".join(f"u{i}x{k}" for k in range(rng.randint(9, 12)))) for i in range(600)], "doc_id long, text string")
+    sizes = []
+    kept = shingle_join._verified
+    monkeypatch.setattr(shingle_join, "_verified", lambda s, pairs, arrays: sizes.append(pairs.count()) or kept(s, pairs, arrays))
+    assert {r.doc_id: r.component_id for r in shingle_join.components(spark, docs).collect()} == {i: i for i in range(600)}
+    assert sum(sizes) <= 3 * 600
+
+
 # --- 2, 4, 9: classifiers -------------------------------------------------
 def test_toxicity(spark, odd, empty):
     chain = toxicity.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("doc_id % 3 <> 0"))
