@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from ..session import checkpoint_dir, materialize, work_path
+from ..session import materialize, ship_package, work_path
 
-__all__ = ["arrow_schema", "bounded_sample", "checkpoint_dir", "fold", "letters", "map_batches", "materialize", "one_thread", "salted", "sigmoid", "text_of", "work_path"]
+__all__ = ["arrow_schema", "bounded_sample", "fold", "labelled", "letters", "map_batches", "materialize", "one_thread", "salted", "sigmoid", "text_of", "work_path"]
 
 #: bytes.split() splits at exactly the six ASCII spaces 0x20 and 0x09-0x0D, and bytes.lower() changes A-Z alone.
 LETTERS = bytes((c | 32) if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -51,6 +51,7 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict | None], sch
     """``fn`` gets columns as lists for a bounded slice of rows and returns output columns."""
 
     out_schema = arrow_schema(schema)
+    ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
@@ -82,9 +83,35 @@ def bounded_sample(df: DataFrame, limit: int, *keys: str, seed: int = 17) -> Dat
     return df.withColumn("__h", salted(*keys, seed=seed)).orderBy("__h", *keys).limit(limit).drop("__h")
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, limit: int, measure: Callable[[str | None], list], kind: str, *, id_col: str, text_col: str, per_class: bool = False) -> tuple[list, list]:
+    """Labels and measures of at most ``limit`` labelled documents (of each class, if ``per_class``), ordered by the hash of their ids.
+
+    An id counts once: with its text of smallest hash, if texts share it, and
+    not at all if its labels disagree. ``measure`` turns a text into an array of
+    ``kind``. The ids that are broadcast and what reaches the driver have the
+    limit for a bound, however often ids, labels or rows repeat.
+    """
+    known = labels.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{label}`").cast("int").alias("y")).where("y IS NOT NULL AND __id IS NOT NULL")
+    known = known.groupBy("__id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("__id", "y")
+    few = bounded_sample(known, limit, "__id")
+    if per_class:
+        few = bounded_sample(known.where("y = 1"), limit, "__id").unionByName(bounded_sample(known.where("y = 0"), limit, "__id"))
+    text = F.col(f"`{text_col}`")
+    joined = docs.select(F.col(f"`{id_col}`").alias("__id"), text.alias("text"), F.xxhash64(text, text.isNull()).alias("mark")).join(F.broadcast(few), "__id")
+    seen: set[tuple] = set()  # a task measures copies once
+
+    def run(c):
+        at = [i for i, k in enumerate(zip(c["id"], c["mark"], strict=True)) if not (k in seen or seen.add(k))]
+        return {"id": [c["id"][i] for i in at], "y": [c["y"][i] for i in at], "mark": [c["mark"][i] for i in at], "x": [measure(c["text"][i]) for i in at]}
+
+    found = map_batches(joined.select(salted("__id", seed=17).alias("id"), "y", "mark", "text"), run, f"id long, y int, mark long, x array<{kind}>")
+    rows = found.groupBy("id").agg(F.min_by(F.struct("y", "x"), "mark").alias("r")).select("id", "r.y", "r.x").toArrow()
+    order = np.argsort(rows.column("id").to_numpy(), kind="stable")
+    x = rows.column("x").combine_chunks()
+    x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+    return rows.column("y").to_numpy()[order].tolist(), [x[int(i)].values.to_numpy(zero_copy_only=False) for i in order]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

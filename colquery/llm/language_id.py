@@ -7,8 +7,8 @@ linear support vector machine, and the languages vote; ties go to the larger
 sum of margins.
 
 Learned languages are the values seen in training; a language not in
-``FAMILIES`` is a family of its own. Training takes at most ``MAX_TRAIN`` rows
-per language. Null texts and texts without a letter are ``und`` with score 0.
+``FAMILIES`` is a family of its own. Training takes at most ``MAX_TRAIN`` distinct
+texts per language and ``MAX_TOTAL`` in all (131 MB of vectors). Null texts and texts without a letter are ``und`` with score 0.
 With one language in training everything else is that language; with none
 everything is ``und``. Repeated rows are predicted alike.
 """
@@ -19,13 +19,12 @@ import itertools
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LETTERS, map_batches, salted, sigmoid, text_of
+from .common import LETTERS, map_batches, sigmoid, text_of
 
-MAX_TRAIN, DIMS, STEPS, C = 1_000, 2_048, 150, 10.0
-MAX_LANGUAGES = 200
+MAX_TRAIN, MAX_TOTAL, DIMS, STEPS, C = 1_000, 16_000, 2_048, 150, 10.0
 
 #: Families of language codes. Fixed values.
 FAMILIES = {
@@ -123,31 +122,40 @@ def fit(x: np.ndarray, langs: list[str]) -> Model:
     return model
 
 
-def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_TRAIN) -> Model | None:
-    """At most ``max_rows`` rows of every language, by smallest hash; fewer of each beyond MAX_LANGUAGES languages, so the sum stays.
+def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_TRAIN, max_total: int = MAX_TOTAL) -> Model | None:
+    """Fitted on the distinct texts of smallest hash of every language: ``max_rows`` of each, fewer where languages are so many that the sum would pass ``max_total`` (but one at least).
 
-    Ids are drawn first, so texts aren't sorted; the ids that are broadcast have that bound.
+    How many distinct texts a language has is estimated, and a hash below the
+    level that this number sets is drawn in the scan, so no language meets in
+    one task. Copies are drawn together and counted once.
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = rows.select(F.col(id_col).alias("__id"), F.col(lang_col).alias("lang")).withColumn("__h", salted("__id", seed=23))
-    part = ids.withColumn("__part", F.pmod("__h", F.lit(64)))  # a first cut by part, so that no language is one task's
-    few = part.withColumn("__r", F.row_number().over(Window.partitionBy("lang", "__part").orderBy("__h", "__id"))).where(F.col("__r") <= max_rows)
-    few = few.withColumn("__r", F.row_number().over(Window.partitionBy("lang").orderBy("__h", "__id"))).where(F.col("__r") <= max_rows)
-    known = few.select("lang").distinct().count()
-    each = max(1, min(max_rows, max_rows * MAX_LANGUAGES // max(1, known)))
-    few = few.where(F.col("__r") <= each).select("__id", F.col("lang").alias("__lang"))
-    joined = rows.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).join(F.broadcast(few), "__id").where("lang = __lang")
+    spark = docs.sparkSession
+    text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
+    rows = docs.where(lang.isNotNull() & text.isNotNull()).select(text.alias("text"), lang.cast("string").alias("lang"), F.xxhash64(F.lit(23), text).alias("mark"))
+    sizes = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("mark").alias("n")).collect()}  # a row a language
+    if not sizes:
+        return None
+    each = max(1, min(max_rows, max_total // len(sizes)))
+    level = lambda n: (1 << 63) - 1 if n <= 2 * each else -(1 << 63) + (1 << 64) * (2 * each) // n
+    levels = spark.createDataFrame([(name, level(n)) for name, n in sizes.items()], "__lang string, level long")
+    drawn = rows.join(F.broadcast(levels), F.col("lang") == F.col("__lang")).where("mark <= level")
+    marks: dict[str, list[int]] = {}
+    for r in drawn.select("lang", "mark").distinct().toLocalIterator():  # about 2 * each rows a language
+        marks.setdefault(r["lang"], []).append(r["mark"])
+    cuts = spark.createDataFrame([(name, sorted(m)[:each][-1]) for name, m in marks.items()], "__lang string, level long")
+    chosen = rows.join(F.broadcast(cuts), F.col("lang") == F.col("__lang")).where("mark <= level")
+    seen: set[tuple] = set()  # a task measures copies once
 
     def run(c):
-        keep = [i for i, t in enumerate(c["text"]) if has_letter(t)]
-        return {"lang": [c["lang"][i] for i in keep], "x": [vector(text_of(c["text"][i])).astype(np.float32) for i in keep]}
+        at = [i for i, k in enumerate(zip(c["lang"], c["mark"], strict=True)) if not (k in seen or seen.add(k)) and has_letter(c["text"][i])]
+        return {"lang": [c["lang"][i] for i in at], "mark": [c["mark"][i] for i in at], "x": [vector(text_of(c["text"][i])).astype(np.float32) for i in at]}
 
-    got = map_batches(joined.select("text", "lang"), run, "lang string, x array<float>").limit(2 * each * max(1, known)).toArrow()
+    got = map_batches(chosen.select("text", "lang", "mark"), run, "lang string, mark long, x array<float>").dropDuplicates(["lang", "mark"]).toArrow()
     if not got.num_rows:
         return None
-    x = np.vstack([np.asarray(c.flatten()).reshape(-1, DIMS) for c in got.column("x").chunks if len(c)]).astype(np.float32)
-    langs = got.column("lang").to_pylist()
-    order = np.lexsort((x[:, 0], x[:, 1], np.array(langs)))
+    x = np.vstack([np.asarray(c.flatten()).reshape(-1, DIMS) for c in got.column("x").chunks if len(c)])
+    langs, mark = got.column("lang").to_pylist(), got.column("mark").to_numpy()
+    order = np.lexsort((mark, np.array(langs)))
     return fit(x[order], [langs[i] for i in order])
 
 

@@ -8,7 +8,8 @@ explain residuals get two-way tables the same way. A score is the logistic of
 an intercept plus one table value per feature and pair: binning and additions,
 all vectorised.
 
-Training takes at most ``MAX_TRAIN`` labelled rows (those of smallest hash);
+Training takes at most ``MAX_TRAIN`` labelled rows (those of smallest hash; an
+id counts once, and not at all if its labels disagree);
 scoring covers every row. Null and empty texts have defined features (zeros)
 and so a score. Null labels are left out. With no or one-sided labels the score
 is the smoothed share of label 1. Repeated rows are scored alike.
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, map_batches, sigmoid, text_of
+from .common import labelled, map_batches, sigmoid, text_of
 
 MAX_TRAIN, BINS, COARSE, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, L2 = 12_000, 32, 8, 120, 60, 8, 0.1, 2.0
 NAMES = ("log_words", "word_length", "upper", "digit", "symbol", "mark", "non_ascii", "distinct", "top_word", "dup_lines", "line_words", "stops", "capitals")
@@ -137,14 +138,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Gam:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", max_rows: int = MAX_TRAIN) -> Gam:
-    """``labels`` (id, 0/1) are cut to ``max_rows``, so the side that is broadcast has that bound."""
-    few = bounded_sample(labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("y")).where("y IS NOT NULL AND __id IS NOT NULL"), max_rows, "__id")
-    joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(few), "__id").select("y", "text")
-    got = map_batches(joined, lambda c: {"y": c["y"], "x": [features(text_of(t)) for t in c["text"]]}, "y double, x array<double>").limit(2 * max_rows).toArrow()
-    y = got.column("y").to_numpy()
-    x = np.array(got.column("x").to_pylist(), dtype=float).reshape(len(y), len(NAMES))
-    order = np.lexsort((*x.T, y))  # the fit doesn't depend on the order of arrival
-    return fit(x[order], y[order])
+    """At most ``max_rows`` labelled rows; repeated and null ids are taken care of in ``labelled``."""
+    y, x = labelled(docs, labels, label_col, max_rows, lambda t: features(text_of(t)), "double", id_col=id_col, text_col=text_col)
+    return fit(np.array(x, dtype=float).reshape(len(y), len(NAMES)), np.array(y, dtype=float))
 
 
 def score(docs: DataFrame, model: Gam, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

@@ -6,12 +6,20 @@ it. For training, those probabilities are out of fold: each row's come from
 models that haven't seen it, so later models don't learn to trust them more
 than they deserve. At scoring, they come from the models fitted on all rows.
 
+The labels know one kind of toxicity. The categories before it are its kinds as
+the labelled texts themselves part: the toxic training rows are clustered by
+the words that they use (spherical k-means from far seeds, ``KINDS`` clusters,
+fewer where rows are few), and a text is an example of kind k if it is toxic
+and in cluster k. The last category is toxicity itself.
+
 Features are whole words and word beginnings of four to eight bytes, so that
 inflected forms count; the ones that tell the classes apart best are chosen on
 the training rows, ``MAX_FEATURES`` at most, by 32-bit id. A text counts each
-once.
+once. The threshold is set on probabilities of models, kinds and features that
+haven't seen the row: all three are chosen anew for each fold.
 
-Training takes at most ``MAX_TRAIN`` rows of each class of the last category.
+Training takes at most ``MAX_TRAIN`` rows of each class of the last category;
+an id counts once, and not at all if its labels disagree.
 Scoring covers every whole text. Null and empty texts have no features and
 score the intercepts. With no or one-sided labels a category's probability is
 its smoothed share. Repeated rows score alike.
@@ -26,20 +34,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, letters, map_batches, sigmoid, text_of
+from .common import labelled, letters, map_batches, sigmoid, text_of
 
 MAX_TRAIN, MAX_FEATURES, FOLDS, STEPS, L2 = 4_000, 384, 5, 200, 3e-4
 MIN_TEXTS, MIN_CHI = 4, 15.0  # of a feature: training rows it occurs in, association beyond chance
-BETA = 0.5  # of the F measure that sets the threshold: clean texts matter more than toxic ones
+CUT_FOLDS, BETA = 3, 0.5  # folds whose rows set the threshold; of the F measure that sets the threshold: clean texts matter more than toxic ones
 BEGIN = range(4, 9)
 MEMORY = 300_000
 
-#: Lexicon of the weak category labels: a toxic text with such a word is an example of the category. Fixed values.
-LEXICON = {
-    "insult": ("idiot", "moron", "stupid", "loser", "clown", "fool", "dumb", "jerk"),
-    "degrading": ("trash", "scum", "pathetic", "worthless", "disgusting", "filthy", "vermin", "garbage"),
-}
-CHAIN = (*LEXICON, "toxic")
+KINDS, KIND_ROWS, KIND_STEPS = 2, 20, 25  # clusters of toxic rows, rows a cluster needs on average, rounds
 
 
 def grams(word: bytes) -> list[int]:
@@ -68,24 +71,25 @@ class Chain:
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """Weighted L2 logistic regression by accelerated gradient steps; the last column is the intercept."""
-    w = np.zeros(x.shape[1])
+    x, y, weight = (np.asarray(v, np.float32) for v in (x, y, weight))
+    w = np.zeros(x.shape[1], np.float32)
     share = (weight @ y + 1) / (weight.sum() + 2)
     w[-1] = np.log(share / (1 - share))
     if len(y) == 0 or y.min() == y.max():
         return w
     total = weight.sum()
     norm = 1.0
-    v = np.ones(x.shape[1])
+    v = np.ones(x.shape[1], np.float32)
     for _ in range(8):  # largest curvature by power iteration
         v = x.T @ (weight * (x @ v)) / total
         norm = np.linalg.norm(v)
         v /= max(norm, 1e-12)
-    rate, prev, momentum = 1 / (norm / 4 + L2), w.copy(), w.copy()
+    rate, prev, momentum = np.float32(1 / (norm / 4 + L2)), w.copy(), w.copy()
     for t in range(STEPS):
-        grad = x.T @ (weight * (sigmoid(x @ momentum) - y)) / total + L2 * np.append(momentum[:-1], 0)
+        grad = x.T @ (weight * (sigmoid(x @ momentum) - y)) / total + np.float32(L2) * np.append(momentum[:-1], np.float32(0))
         w = momentum - rate * grad
-        momentum, prev = w + t / (t + 3) * (w - prev), w
-    return w
+        momentum, prev = w + np.float32(t / (t + 3)) * (w - prev), w
+    return w.astype(float)
 
 
 def choose(texts: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -110,50 +114,82 @@ def matrix(texts: list[np.ndarray], vocabulary: np.ndarray) -> np.ndarray:
     return x
 
 
-def fit(texts: list[np.ndarray], labels: dict[str, np.ndarray], weight: np.ndarray) -> Chain:
-    """``labels``: 0/1 per category in chain order; the last one chooses features and threshold."""
-    names = tuple(labels)
-    y = labels[names[-1]]
-    vocabulary = choose(texts, y)
-    x = matrix(texts, vocabulary)
-    folds = np.arange(len(y)) % FOLDS
-    models, out_of_fold = [], np.zeros((len(y), 0))
-    for name in names:
+def kinds(x: np.ndarray, count: int = KINDS) -> np.ndarray:
+    """Cluster of each row of ``x`` (0/1 features): spherical k-means, deterministic; the largest cluster first."""
+    count = min(count, len(x) // KIND_ROWS)
+    if count < 2:
+        return np.zeros(len(x), int)
+    rare = x * np.log((1 + len(x)) / (1 + x.sum(0)))  # words that all share part nothing
+    unit = rare / np.maximum(np.linalg.norm(rare, axis=1, keepdims=True), 1e-9)
+    centre = unit.mean(0)
+    seeds = [int((unit @ centre).argmax())]
+    while len(seeds) < count:  # the row least like the seeds so far
+        seeds.append(int((unit @ unit[seeds].T).max(1).argmin()))
+    middle = unit[seeds]
+    for _ in range(KIND_STEPS):
+        of = (unit @ middle.T).argmax(1)
+        sums = np.stack([unit[of == k].sum(0) if (of == k).any() else middle[k] for k in range(count)])
+        middle = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    of = (unit @ middle.T).argmax(1)
+    order = np.argsort(-np.bincount(of, minlength=count), kind="stable")
+    return np.argsort(order)[of]
+
+
+def categories(x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """0/1 per category in chain order: the kinds that toxic rows part into, then toxicity."""
+    of = np.full(len(y), -1)
+    of[y == 1] = kinds(x[y == 1])
+    return {f"kind{k}": (of == k).astype(float) for k in range(KINDS)} | {"toxic": y}
+
+
+def links(x: np.ndarray, labels: dict[str, np.ndarray], weight: np.ndarray) -> list[np.ndarray]:
+    """The chain's models; each is fitted with out-of-fold probabilities of the earlier categories."""
+    folds = np.arange(len(weight)) % FOLDS
+    models, out_of_fold = [], np.zeros((len(weight), 0))
+    for name, y in labels.items():
         full = np.hstack([x, out_of_fold, np.ones((len(y), 1))])
-        held = np.zeros(len(y))
-        for k in range(FOLDS):
-            rest = folds != k
-            held[~rest] = sigmoid(full[~rest] @ logistic(full[rest], labels[name][rest], weight[rest]))
-        models.append(logistic(full, labels[name], weight))
-        out_of_fold = np.hstack([out_of_fold, held[:, None]])
-    chain = Chain(names, vocabulary, models)
-    if len(y) and 0 < y.sum() < len(y):  # the threshold of best F measure on out-of-fold probabilities
-        cuts = np.linspace(0.2, 0.9, 29)
-        p, b = out_of_fold[:, -1], BETA**2
+        models.append(logistic(full, y, weight))
+        if name != list(labels)[-1]:
+            held = np.zeros(len(y))
+            for k in range(FOLDS):
+                rest = folds != k
+                held[~rest] = sigmoid(full[~rest] @ logistic(full[rest], y[rest], weight[rest]))
+            out_of_fold = np.hstack([out_of_fold, held[:, None]])
+    return models
+
+
+def fit(texts: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> Chain:
+    """``texts`` as features, ``y`` toxicity as 0/1."""
+
+    def chain(at: np.ndarray) -> Chain:
+        some, toxic = [texts[i] for i in at], y[at]
+        vocabulary = choose(some, toxic)
+        x = matrix(some, vocabulary)
+        labels = categories(x, toxic)
+        return Chain(tuple(labels), vocabulary, links(x, labels, weight[at]))
+
+    out = chain(np.arange(len(y)))
+    if len(y) and 0 < y.sum() < len(y):  # the threshold of best F measure on rows that nothing was chosen on
+        folds, p = (np.arange(len(y)) // 7) % CUT_FOLDS, np.zeros(len(y))
+        for k in range(CUT_FOLDS):
+            held = np.flatnonzero(folds == k)
+            if len(held):
+                part = chain(np.flatnonzero(folds != k))
+                p[held] = part.predict(matrix([texts[i] for i in held], part.vocabulary))[:, -1]
+        cuts, b = np.linspace(0.2, 0.9, 29), BETA**2
         f = [(1 + b) * (weight * y * (p >= c)).sum() / max(1e-9, (weight * (p >= c)).sum() + b * (weight * y).sum()) for c in cuts]
-        chain.threshold = float(cuts[int(np.argmax(f))])
-    return chain
+        out.threshold = float(cuts[int(np.argmax(f))])
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN) -> Chain:
-    known = labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("y")).where("y IS NOT NULL AND __id IS NOT NULL")
-    sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    few = bounded_sample(known.where("y = 1"), max_rows, "__id").unionByName(bounded_sample(known.where("y = 0"), max_rows, "__id"))
-    joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(few), "__id").select("__id", "y", "text")
-    got = map_batches(joined, lambda c: {"id": [str(i) for i in c["__id"]], "y": c["y"], "g": [text_grams(text_of(t)) for t in c["text"]]}, "id string, y int, g array<int>").limit(4 * max_rows).toArrow()
-    grams_of = [np.asarray(v) for chunk in got.column("g").chunks for v in np.split(chunk.flatten().to_numpy(), np.cumsum(np.diff(chunk.offsets.to_numpy()))[:-1]) if len(chunk)]
-    order = sorted(range(got.num_rows), key=lambda i: (got.column("id")[i].as_py(), got.column("y")[i].as_py(), len(grams_of[i])))
-    texts = [grams_of[i] for i in order]
-    y = got.column("y").to_numpy()[order].astype(float)
+    sizes = {r["y"]: r["count"] for r in labels.groupBy(F.col(f"`{label_col}`").cast("int").alias("y")).count().where("y IN (0, 1)").collect()}
+    y, texts = labelled(docs, labels, label_col, max_rows, lambda t: text_grams(text_of(t)), "int", id_col=id_col, text_col=text_col, per_class=True)
+    y = np.array(y, dtype=float)
     seen = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     weight = np.array([sizes.get(int(v), 0) / seen[int(v)] for v in y])  # classes weigh what they do among all labels
     weight = weight / max(1e-9, weight.mean()) if len(weight) else weight
-    named = {name: np.array([float(v and np.isin(_ids(ws), g).any()) for v, g in zip(y, texts, strict=True)]) for name, ws in LEXICON.items()}
-    return fit(texts, named | {"toxic": y}, weight)
-
-
-def _ids(words) -> np.ndarray:
-    return np.array([crc32(w.encode()) for w in words], np.uint32).view(np.int32)
+    return fit(texts, y, weight)
 
 
 def score(docs: DataFrame, chain: Chain, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

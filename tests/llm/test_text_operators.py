@@ -149,7 +149,7 @@ def test_shared_passage_makes_no_pairs(spark, monkeypatch):
 # --- 2, 4, 9: classifiers -------------------------------------------------
 def test_toxicity(spark, odd, empty):
     chain = toxicity.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("doc_id % 3 <> 0"))
-    assert chain.names == toxicity.CHAIN and len(chain.weights[2]) == len(chain.vocabulary) + 3
+    assert chain.names == ("kind0", "kind1", "toxic") and len(chain.weights[2]) == len(chain.vocabulary) + 3
     got = {r.doc_id: r.toxic for r in toxicity.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), chain).collect()}
     held = [(r.toxic, got[r.doc_id]) for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("doc_id % 3 = 0").collect()]
     assert sum(p for y, p in held if not y) <= 0.03 * len(held) and sum(p for y, p in held if y) >= 0.6 * sum(y for y, _ in held)
