@@ -1,8 +1,11 @@
 """Deterministic sharded WARC archives: writer and reader.
 
-Writing. Ids are cut into ranges of about ``SHARD_BYTES`` payload by running
-totals over id buckets, so a record's shard doesn't depend on how tasks run.
-Each task sorts its shards' records by id, compresses record by record, starts
+Writing. Records are ranged by id, digest and URL and cut into shards of equal
+bytes (``SHARD_BYTES`` at most, more where that would make over ``MAX_SHARDS``)
+by running totals over the sorted keys, so shards are even however ids lie and
+don't depend on how tasks run. A record repeated in id, payload and URL so
+often that it fills shards is written by several, each so many times.
+Each task sorts its shard's records, compresses record by record, starts
 a new file when the current one has ``ROLL_BYTES`` compressed bytes, and
 regenerates all headers and digests from the payload. Files are written under
 temporary names and renamed when complete; a repeated task replaces its files
@@ -15,7 +18,7 @@ response's headers and digest but no payload. Equal payloads are grouped by
 digest, aggregated before the shuffle; the one decision per revisit reaches the
 writer in the same shuffle as the pages, sorted right before its page.
 
-Null html is an empty payload. Rows with a null id sort first and never are the
+Null html is an empty payload. Rows with a null id sort first, by digest and URL, and never are the
 one that others refer to unless all of the group are null; then each is a
 response. Repeated ids of equal payload that are the smallest are responses
 each. URLs are percent-encoded where they hold spaces or control characters. An
@@ -36,9 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch, ship_package
 from .common import arrow_schema, materialize, work_path
 
-SHARD_BYTES, ROLL_BYTES, MAX_BUCKETS, MAX_TASKS, LEVEL, DATE = 16 << 20, 64 << 20, 1 << 20, 100_000, 6, "2000-01-01T00:00:00Z"
+SHARD_BYTES, ROLL_BYTES, MAX_SHARDS, RECORD_BYTES, LEVEL, DATE = 16 << 20, 64 << 20, 20_000, 512, 6, "2000-01-01T00:00:00Z"
+MAX_BROADCAST = 200_000  # rows of a counted side of digests and ids
+KEY = ["page_id", "sha", "uh"]
 MANIFEST = "file string, shard long, seq int, records long, bytes long, sha256 string"
 RECORDS = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 CRLF = b"\r\n"
@@ -112,38 +118,108 @@ class Roller:
             self.out, self.seq = None, self.seq + 1
 
 
-def decisions(pages: DataFrame, min_revisit: int) -> DataFrame:
-    """page_id, sha, refers_to for every page that revisits another."""
-    small = pages.select("page_id", "sha", "size").where(F.col("size") >= min_revisit)
-    firsts = small.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 AND first IS NOT NULL").drop("c")
-    return small.join(firsts, ["sha", "size"]).where("NOT page_id <=> first").select("page_id", "sha", F.col("first").alias("refers_to")).distinct()
-
-
-def sharder(keys: DataFrame, shard_bytes: int):
-    """A function that adds ``shard``, and about how many there are: ids are cut evenly into buckets, buckets gathered to ranges of about ``shard_bytes`` payload."""
-    edge = keys.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.sum("size").alias("bytes")).first()
-    lo, hi, total = edge["lo"] or 0, edge["hi"] or 0, edge["bytes"] or 0
-    buckets = max(1, min(MAX_BUCKETS, 8 * -(-total // shard_bytes)))
-    width = max(1, -(-(hi - lo + 1) // buckets))
-    bucket = F.coalesce(F.floor((F.col("page_id") - F.lit(lo)) / F.lit(width)).cast("long"), F.lit(0))
-    sizes = keys.groupBy(bucket.alias("bucket")).agg(F.sum("size").alias("b"))
-    before = F.sum("b").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    shards = sizes.select("bucket", F.floor(F.coalesce(before, F.lit(0)) / shard_bytes).cast("long").alias("shard"))
-    add = lambda df: df.withColumn("bucket", bucket).join(F.broadcast(shards), "bucket").drop("bucket")  # at most MAX_BUCKETS rows
-    return add, -(-total // shard_bytes)
+def _side(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
+
+
+def decisions(spark: SparkSession, keys: DataFrame, min_revisit: int) -> DataFrame:
+    """page_id, sha, uh, refers_to for every record that revisits another."""
+    small = keys.where(F.col("size") >= min_revisit)
+    firsts = small.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 AND first IS NOT NULL")
+    firsts = materialize(spark, firsts.select(F.col("sha").alias("__sha"), F.col("size").alias("__size"), F.col("first").alias("refers_to")), "first-pages")
+    joined = small.join(_side(firsts), (F.col("sha") == F.col("__sha")) & (F.col("size") == F.col("__size")))
+    return joined.where("NOT page_id <=> refers_to").select(*KEY, "refers_to").distinct()
+
+
+def _renamed(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"__{c}") for c in KEY], *[c for c in df.columns if c not in KEY])
+
+
+def _same_key():
+    return F.col("page_id").eqNullSafe(F.col("__page_id")) & (F.col("sha") == F.col("__sha")) & (F.col("uh") == F.col("__uh"))
+
+
+def _not_on_key(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.join(F.broadcast(_renamed(right)), _same_key(), "left_anti")
+
+
+def _on_key(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Join with a small table by key, nulls included; the key columns are left's."""
+    return left.join(F.broadcast(_renamed(right)), _same_key()).drop(*[f"__{c}" for c in KEY])
+
+
+class Shards:
+    """Where keys go: the first key of each shard, and the blocks of records that fill shards by themselves."""
+
+    def __init__(self, spark: SparkSession, keys: DataFrame, shard_bytes: int):
+        groups = keys.groupBy(*KEY).agg(F.max("size").alias("size"), F.count("*").alias("n")).withColumn("w", (F.col("size") + RECORD_BYTES) * F.col("n"))
+        order = [F.col("page_id").asc_nulls_first(), F.col("sha"), F.col("uh")]
+        ranged = materialize(spark, groups.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranged-keys")
+        parts = sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("w").alias("w")).collect())  # a row a partition
+        total, starts = 0, []
+        for part, w in parts:
+            starts.append((part, total))
+            total += w
+        self.each = max(shard_bytes, -(-total // MAX_SHARDS))
+        shards = max(1, -(-total // self.each))
+        self.each = max(1, -(-total // shards))
+        self.count = shards
+        start = spark.createDataFrame(starts, "__part int, before long")
+        own = F.coalesce(F.sum("w").over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        at = ranged.withColumn("own", own).join(F.broadcast(start), F.col("part") == F.col("__part")).withColumn("start", F.col("own") + F.col("before"))
+        at = materialize(spark, at.withColumn("shard", F.floor(F.col("start") / F.lit(self.each)).cast("long")).select(*KEY, "size", "n", "w", "start", "shard"), "placed-keys")
+        first = at.groupBy("shard").agg(F.min(F.struct(*KEY)).alias("k")).orderBy("shard").collect()  # MAX_SHARDS rows at most
+        self.numbers = [r["shard"] for r in first]
+        self.edges = [[r["k"]["page_id"], r["k"]["sha"], r["k"]["uh"]] for r in first]
+        # Records that repeat beyond a shard: blocks of so many copies each.
+        heavy = at.where((F.col("n") > 1) & (F.col("w") > self.each))
+        fit = F.greatest(F.lit(1), F.floor(F.lit(self.each) / (F.col("size") + RECORD_BYTES))).cast("long")
+        heavy = heavy.withColumn("fit", fit).withColumn("b", F.explode(F.expr("sequence(0L, (n - 1) div fit)")))
+        place = F.least(F.lit(shards - 1), F.floor((F.col("start") + F.col("b") * F.col("fit") * (F.col("size") + RECORD_BYTES)) / F.lit(self.each))).cast("long")
+        self.heavy = materialize(spark, heavy.select(*KEY, place.alias("shard"), F.expr("least(fit, n - b * fit)").alias("times")), "repeated")
+        self.repeats = not self.heavy.isEmpty()
+
+    def column(self):
+        """The shard of a key: the last edge that isn't beyond it, by binary search in a constant array."""
+        if len(self.edges) < 2:
+            return F.lit(self.numbers[0] if self.numbers else 0).cast("long")
+        edges = json.dumps([{"p": p, "s": s, "u": u} for p, s, u in self.edges])
+        steps = ", ".join(str(1 << k) for k in reversed(range(len(self.edges).bit_length())))
+        found = (f"aggregate(array({steps}), 0, (at, step) -> if(get(from_json('{edges}', 'array<struct<p:bigint,s:string,u:bigint>>'), at + step) "
+                 "<= named_struct('p', page_id, 's', sha, 'u', uh), at + step, at))")
+        return F.expr(f"get(from_json('{json.dumps(self.numbers)}', 'array<bigint>'), {found})")
+
+    def records(self, pages: DataFrame, others: DataFrame) -> DataFrame:
+        """``pages`` and ``others`` (decisions) with shard and times."""
+        place = self.column()
+        if not self.repeats:
+            return others.unionByName(pages).withColumn("shard", place).withColumn("times", F.lit(1).cast("long"))
+        full = self.heavy.select(*KEY).distinct()
+        seldom = lambda df: _not_on_key(df, full).withColumn("shard", place).withColumn("times", F.lit(1).cast("long"))
+        once = pages.join(F.broadcast(_renamed(full)), _same_key(), "left_semi").groupBy(*KEY).agg(*[F.first(c).alias(c) for c in pages.columns if c not in KEY])
+        often = _on_key(once.unionByName(others), self.heavy)
+        return seldom(others).unionByName(seldom(pages)).unionByName(often.select(*pages.columns, "shard", "times"))
 
 
 def write_archive(spark: SparkSession, pages: DataFrame, path: str, *, min_revisit: int = 0, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write pages (page_id, url, html) under ``path`` and return the manifest."""
+    with scratch(spark):
+        return _write_archive(spark, pages, path, min_revisit, shard_bytes, roll_bytes)
+
+
+def _write_archive(spark, pages, path, min_revisit, shard_bytes, roll_bytes) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    sized = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.sha1(payload).alias("sha"), F.length(payload).cast("long").alias("size"))
-    keys = materialize(spark, sized.select("page_id", "sha", "size"), "page-keys")
-    shard, shards = sharder(keys, shard_bytes)
-    # Decisions and pages come to the writer in one shuffle.
-    decided = shard(decisions(keys, min_revisit)).select("shard", "page_id", "sha", F.lit(0).alias("kind"), "refers_to", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"))
-    stream = decided.unionByName(shard(sized).select("shard", "page_id", "sha", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("refers_to"), "url", "html"))
-    count = max(1, min(MAX_TASKS, 2 * shards))  # tasks follow the data: few shards share one by chance
-    stream = stream.repartition(count, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha", "kind", F.col("url").asc_nulls_first())
+    url = F.col("url")
+    sized = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("sha"), F.xxhash64(url, url.isNull()).alias("uh"), "url", F.coalesce("html", F.lit("")).alias("html"), F.length(payload).cast("long").alias("size"))
+    keys = materialize(spark, sized.select(*KEY, "size"), "page-keys")
+    shards = Shards(spark, keys, shard_bytes)
+    # Decisions and pages come to the writer in one shuffle, a task a shard.
+    null = lambda kind: F.lit(None).cast(kind)
+    decided = decisions(spark, keys, min_revisit).select(*KEY, F.lit(0).alias("kind"), "refers_to", null("string").alias("url"), null("string").alias("html"))
+    stream = shards.records(sized.select(*KEY, F.lit(1).alias("kind"), null("long").alias("refers_to"), "url", "html"), decided)
+    stream = stream.select("shard", *KEY, "kind", "refers_to", "url", "html", "times").repartitionById(shards.count, F.col("shard").cast("int"))
+    stream = stream.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "sha", "uh", "kind")
+    ship_package(spark)
     fs, local = filesystem(path)
     fs.create_dir(f"{local}/data")
     data, out_schema = f"{path}/data", arrow_schema(MANIFEST)
@@ -162,7 +238,9 @@ def write_archive(spark: SparkSession, pages: DataFrame, path: str, *, min_revis
                     if r["kind"] == 0:
                         known = {key: r["refers_to"]}
                     else:
-                        roller.add(record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), known.get(key), key in known))
+                        raw = record(r["page_id"], r["url"], r["html"].encode("utf-8", "surrogatepass"), known.get(key), key in known)
+                        for _ in range(r["times"]):
+                            roller.add(raw)
         if roller:
             roller.close()
             yield _manifest(roller, out_schema)
@@ -216,6 +294,7 @@ def parse(data: bytes) -> dict | None:
 
 def read_archive(spark: SparkSession, path: str, *, payloads: bool = True) -> DataFrame:
     """RECORDS of the files in the manifest; every file's checksum, record count and digests are checked."""
+    ship_package(spark)
     files = spark.read.parquet(f"{path}/manifest")
     n = max(1, min(files.count(), 20_000))
     schema, data = arrow_schema(RECORDS), f"{path}/data"
@@ -253,11 +332,6 @@ def archive(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:
     return read_archive(spark, path, payloads=False)
 
 
-def describe(spark: SparkSession, path: str) -> str:
-    """The manifest as JSON lines, for tools outside Spark."""
-    return "\n".join(json.dumps(r.asDict()) for r in spark.read.parquet(f"{path}/manifest").orderBy("file").toLocalIterator())
-
-
 #: The digest columns of the query in DuckDB's dialect, but for base32, which is spelt out from the hexadecimal SHA-1.
 ORACLE = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),

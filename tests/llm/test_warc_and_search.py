@@ -42,6 +42,39 @@ def test_archive_is_deterministic(spark):
     assert high.count() == pages.count()
 
 
+def shard_records(spark, rows, **options):
+    path = work_path(spark, "warc-test")
+    manifest = warc.write_archive(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), path, **options).collect()
+    got = warc.read_archive(spark, path).collect()
+    by = {}
+    for r in manifest:
+        by[r.shard] = by.get(r.shard, 0) + r.records
+    return by, sorted((r.page_id or -1, r.url or "", r.payload_bytes) for r in got)
+
+
+def test_shards_are_even_however_ids_lie(spark):
+    rows = [(i, f"http://h/{i}", f"page {i} " + "x" * 300) for i in range(2000)]
+    even, _ = shard_records(spark, rows, shard_bytes=30_000)
+    odd, got = shard_records(spark, rows + [(10**15, "http://far", "far")], shard_bytes=30_000)
+    assert len(even) > 20 and max(even.values()) <= 1.2 * 2000 / len(even)
+    assert abs(len(odd) - len(even)) <= 1 and max(odd.values()) <= max(even.values()) + 1 and len(got) == 2001
+
+
+def test_shards_of_repeated_and_null_ids(spark):
+    """Null ids part by digest and URL; records equal in everything are dealt out in blocks."""
+    rows = [(None, f"http://n/{i}", f"page {i} " + "x" * 300) for i in range(500)] + [(7, "http://same", "y" * 300)] * 700 + [(None, f"http://m/{i}", "z" * 300) for i in range(300)] + [(3, None, "y" * 300), (9, "u", None)]
+    by, got = shard_records(spark, rows, shard_bytes=40_000)
+    assert got == sorted((i or -1, u or "", len(h or "")) for i, u, h in rows)
+    assert len(by) > 20 and max(by.values()) <= 2 * len(rows) / len(by)
+    path = work_path(spark, "warc-test")
+    warc.write_archive(spark, spark.createDataFrame(rows, "page_id long, url string, html string"), path, shard_bytes=40_000)
+    kinds = {}
+    for r in warc.read_archive(spark, path).collect():
+        kinds.setdefault((r.page_id, r.payload_digest), set()).add((r.record_type, r.refers_to))
+    y, z = warc.digest(b"y" * 300), warc.digest(b"z" * 300)
+    assert kinds[3, y] == {("response", None)} and kinds[7, y] == {("revisit", 3)} and kinds[None, z] == {("response", None)}
+
+
 def test_min_revisit_and_empty(spark):
     pages = spark.createDataFrame([(1, "u", "abc"), (2, "v", "abc")], "page_id long, url string, html string")
     assert {r.record_type for r in warc.archive(spark, pages, min_revisit=4).collect()} == {"response"}
