@@ -124,11 +124,34 @@ def test_search_recall_and_order(spark, clustered):
 def test_search_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 1.0]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [0.5, 1.0]), (8, [0.5, 1.0]), (20, [0.0, 2.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in lsh_search.search(spark, df, mass=1.0).collect())
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in lsh_search.search(spark, df).collect())
     assert got == [(0, 1, 1, 0.5), (0, 2, 8, 0.5), (0, 3, 20, 0.0), (20, 1, 1, 2.0), (20, 2, 8, 2.0), (20, 3, 0, 0.0)]
     assert lsh_search.search(spark, df.limit(0)).count() == 0
 
 
+def test_search_splits_and_clashing_columns(spark, clustered, monkeypatch):
+    """Parts and queries in many splits give the rows that whole ones give; further columns don't matter."""
+    rows = [(int(i), v.tolist(), 1, 2) for i, v in enumerate(clustered[:1500])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, part int, codes int")
+    whole = sorted(map(tuple, lsh_search.search(spark, df).collect()))
+    monkeypatch.setattr(lsh_search, "PART_ROWS", 200)
+    monkeypatch.setattr(lsh_search, "PART_QUERIES", 9)
+    assert sorted(map(tuple, lsh_search.search(spark, df).collect())) == whole and len(whole) == 75 * 20
+
+
+def test_buckets_come_by_falling_success():
+    x = np.random.default_rng(1).normal(size=(400, 8))
+    model = lsh_search.Hash(8, 400, x, 1, 1.0)
+    for q, codes in zip(x[:40], model.visits(x[:40], 0), strict=True):
+        assert len(codes) == len(set(codes.tolist())) == model.buckets(0)  # all of them, for the whole mass
+        odds = [s[0] / u for s, u in zip(model.shares(q[None], 0), model.usual[0], strict=True)]
+        value = np.ones(1)
+        for o in odds:
+            value = (value[:, None] * o[None]).ravel()
+        assert np.allclose(value[codes], np.sort(value)[::-1])
+    assert set(np.concatenate([model.bucket(x, 0)])) <= set(range(model.buckets(0)))
+
+
 @pytest.mark.parametrize("n", [3, 15, 30, 90])
 def test_search_fills_small_tables(spark, n):
     x = np.random.default_rng(n).normal(size=(n, 6))
