@@ -9,9 +9,16 @@ added, and a document is emitted once per integer boundary it crosses. So the
 number of copies is floor or ceil of the ratio, and the order by size keeps
 the words taken near the target.
 
+Rows equal in every column are counted first and handled as one group with a
+count: their copies are the boundaries that the group crosses, shared out
+equally, and they are written out again in chunks of ``CHUNK`` rows. So neither
+a repeated row nor a null id ever meets itself in one task.
+
 The prefix sum needs no sort in one task: it is ratio * rank, and ranks come
-from counts of (source, size, block) plus a rank within the block. A block
-holds about ``BLOCK_ROWS`` rows, also of a source or size that has most rows.
+from counts by (source, size), by block within these, and a rank within the
+block. A block holds about ``BLOCK_ROWS`` groups, dealt out by the hash of their
+id, also of a source or size that has most rows. Sources are numbered by a range
+sort and their targets found by repeated sums over them, so there may be many.
 
 Null sources are a source of their own, ordered last. Null text has size 0.
 Documents of size 0 have copies like any other, but take no words. Repeated
@@ -20,94 +27,147 @@ rows are documents of their own. An empty table gives no row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType, VariantType
 
+from ..session import scratch
+from ..sources.snapshot import numbered
 from .common import materialize
 from .native import word_count
 
-WEIGHTS, FACTOR, CAP, BLOCK_ROWS, SEED = (3, 1, 2), 1.5, 2, 1_000, "mix-1"
-
-
-def targets(sized: DataFrame, weights=WEIGHTS, factor: float = FACTOR, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """One row per source: source, source_size, target, ratio, offset. Windows run over sources only."""
-    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (place % len(weights) + 1).cast("int")).cast("long")
-    per = per.withColumn("weight", weight).withColumn("most", F.col("source_size") * cap)
-    # Sources by rising most / weight: one is capped if its share of what the ones before leave would reach its most.
-    rising = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    total = F.sum("source_size").over(everything) * F.lit(factor)
-    before = F.coalesce(F.sum("most").over(rising), F.lit(0)), F.coalesce(F.sum("weight").over(rising), F.lit(0))
-    level = (total - before[0]) / (F.sum("weight").over(everything) - before[1])
-    per = per.withColumn("total", total).withColumn("capped", F.col("most") / F.col("weight") <= level)
-    left = F.col("total") - F.sum(F.when(F.col("capped"), F.col("most")).otherwise(0)).over(everything)
-    share = F.sum(F.when(~F.col("capped"), F.col("weight")).otherwise(0)).over(everything)
-    target = F.when(F.col("capped"), F.col("most").cast("double")).otherwise(F.col("weight") * left / F.when(share > 0, share))
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("source"), F.lit("\x00")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    return per.withColumn("target", target).select(
-        "source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("ratio"), offset.alias("offset"))
-
-
-def copies(sized: DataFrame, key: str = "doc_id", block_rows: int = BLOCK_ROWS, ties: tuple[str, ...] = (), **options) -> DataFrame:
-    """``sized`` (source, size, an integer ``key``, anything else) plus source_size, target and copies.
-
-    Rows of equal size go by ``key``, then by the columns in ``ties``.
-
-    Columns named ``__…`` are used meanwhile; a column of the input with the
-    name of a result column is replaced.
+WEIGHTS, FACTOR, CAP, BLOCK_ROWS, CHUNK, SEED = (3, 1, 2), 1.5, 2, 1_000, 1_000, "mix-1"
+#: Sources up to which their counted table is broadcast.
+MAX_BROADCAST = 200_000
+
+
+def targets(groups: DataFrame, weights=WEIGHTS, factor: float = FACTOR, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """One row per source of ``groups`` (source, size, n): source, source_size, target, ratio, offset; written."""
+    spark = groups.sparkSession
+    with scratch(spark) as made:
+        per = materialize(spark, groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), "sources")
+        per = numbered(spark, per, [F.col("source").asc_nulls_last()])
+        weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("__row") % len(weights) + 1).cast("int")).cast("long")
+        per = materialize(spark, per.withColumn("weight", weight).withColumn("most", F.col("source_size") * cap), "weighed")
+        # The level that open sources share rises as capped ones leave; it is final once no further one is capped.
+        total = F.sum("source_size") * F.lit(factor)
+        total = per.agg(total.alias("t")).first()["t"] or 0.0
+        level, left, share, known = None, total, None, -1
+        while True:
+            capped = F.lit(False) if level is None else F.col("most") / F.col("weight") <= F.lit(level)
+            got = per.agg(F.count_if(capped).alias("k"), F.sum(F.when(capped, F.col("most")).otherwise(0)).alias("m"), F.sum(F.when(~capped, F.col("weight")).otherwise(0)).alias("w")).first()
+            if got["k"] == known:
+                break
+            known, left, share = got["k"], total - (got["m"] or 0), got["w"] or 0
+            if not share:
+                break
+            level = left / share
+        capped = F.lit(False) if level is None else F.col("most") / F.col("weight") <= F.lit(level)
+        open_ = F.col("weight") * F.lit(float(left)) / F.lit(share) if share else F.col("most").cast("double")
+        target = F.when(capped, F.col("most").cast("double")).otherwise(open_)
+        offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("source"), F.lit("\x00")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+        per = per.withColumn("target", target).select(
+            "source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("ratio"), offset.alias("offset"))
+        per = materialize(spark, per, "targets")
+        made.keep(per)
+    return per
+
+
+def _hash(key: str) -> Column:
+    """32 bits of the key's digest; 0 for null."""
+    return F.coalesce(F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long"), F.lit(0))
+
+
+def allot(groups: DataFrame, key: str, ties: tuple[str, ...], block_rows: int = BLOCK_ROWS, **options) -> DataFrame:
+    """``groups`` (a written table: source, size, ``key``, ``ties``, n: how many rows are equal in these) plus source_size, target and total, the group's copies.
+
+    Groups of equal size go by block, ``key`` and ``ties``.
     """
-    sized = sized.drop("source_size", "target", "copies")
-    groups = sized.groupBy("source", "size").agg(F.count("*").alias("__n"))
-    blocks = groups.select(F.col("source").alias("__source"), F.col("size").alias("__size"), F.ceil(F.col("__n") / block_rows).alias("__blocks"))
-    rows = sized.join(blocks, F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))).drop("__source", "__size")
-    rows = rows.withColumn("__block", F.coalesce(F.pmod(F.col(key), F.col("__blocks")), F.lit(0)))
-    counts = rows.groupBy("source", "size", "__block").agg(F.count("*").alias("__n"))
-    order = Window.partitionBy("source").orderBy("size", "__block")
+    per = targets(groups, **options).withColumnRenamed("source", "__src")
+    few = per.count() <= MAX_BROADCAST
+    sizes = groups.groupBy("source", "size").agg(F.count("*").alias("__g"), F.sum("n").alias("__n"))
+    by_size = Window.partitionBy("source").orderBy("size")
+    sizes = sizes.select(F.col("source").alias("__source"), F.col("size").alias("__size"), F.ceil(F.col("__g") / block_rows).alias("__blocks"), (F.sum("__n").over(by_size) - F.col("__n")).alias("__below"))
+    rows = groups.join(sizes, F.col("source").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))).drop("__source", "__size")
+    # Null ids part by their ties; the rows of a block are few whatever repeats, as equal ones are one group.
+    spread = F.when(F.col(key).isNull(), F.xxhash64(*ties) if ties else F.lit(0).cast("long")).otherwise(_hash(key))
+    rows = rows.withColumn("__block", F.pmod(spread, F.col("__blocks")))
+    counts = rows.groupBy("source", "size", "__block").agg(F.sum("n").alias("__n"))
+    order = Window.partitionBy("source", "size").orderBy("__block")
     starts = counts.select(F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("__block").alias("__b"), (F.sum("__n").over(order) - F.col("__n")).alias("__before"))
-    inner = F.row_number().over(Window.partitionBy("source", "size", "__block").orderBy(F.col(key).asc_nulls_first(), *ties))
-    rows = rows.withColumn("__at", inner).join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")) & (F.col("__block") == F.col("__b")))
-    per = targets(sized, **options).withColumnRenamed("source", "__src")
-    rows = rows.join(per, F.col("source").eqNullSafe(F.col("__src")))
-    rank = (F.col("__before") + F.col("__at")).cast("double")
-    crossed = F.floor(F.col("ratio") * rank + F.col("offset")) - F.floor(F.col("ratio") * (rank - 1) + F.col("offset"))
-    return rows.withColumn("copies", crossed.cast("long")).select(*sized.columns, "source_size", "target", "copies")
+    within = Window.partitionBy("source", "size", "__block").orderBy(F.col(key).asc_nulls_first(), *ties)
+    rows = rows.withColumn("__in", F.sum("n").over(within) - F.col("n")).join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")) & (F.col("__block") == F.col("__b")))
+    rows = rows.join(F.broadcast(per) if few else per, F.col("source").eqNullSafe(F.col("__src")))
+    first = (F.col("__below") + F.col("__before") + F.col("__in")).cast("double")
+    crossed = F.floor(F.col("ratio") * (first + F.col("n")) + F.col("offset")) - F.floor(F.col("ratio") * first + F.col("offset"))
+    return rows.withColumn("total", crossed.cast("long")).select(*groups.columns, "source_size", "target", "total")
+
+
+def _times(rows: DataFrame, count: Column) -> DataFrame:
+    """Every row ``count`` times. Rows of many are parted into chunks first, which are dealt out."""
+    few = rows.where(count.between(1, CHUNK)).withColumn("__i", F.explode(F.array_repeat(F.lit(0), count.cast("int")))).drop("__i")
+    many = rows.where(count > CHUNK)
+    if many.isEmpty():
+        return few
+    chunk = many.withColumn("__left", count).withColumn("__c", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(__left - 1) div {CHUNK}")))).repartition("__c")
+    each = F.least(F.lit(CHUNK), F.col("__left") - F.col("__c") * CHUNK).cast("int")
+    return few.unionByName(chunk.withColumn("__i", F.explode(F.array_repeat(F.lit(0), each))).drop("__left", "__c", "__i"))
+
+
+def copies(sized: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+    """``sized`` (source, size, ``key``, further columns that can be grouped by) plus source_size, target and copies.
+
+    Rows of equal size go by the digest of ``key``, then by the further columns.
+    Columns named ``__...``, n and total are used meanwhile and may be in the
+    input under these names; one with the name of a result column is replaced.
+    """
+    spark = sized.sparkSession
+    sized = sized.drop("source_size", "target", "copies")
+    fixed = ["source", "size", key]
+    names = {c: c if c in fixed else f"__x{i}" for i, c in enumerate(sized.columns)}
+    with scratch(spark) as made:
+        plain = sized.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+        groups = materialize(spark, plain.groupBy(*names.values()).agg(F.count("*").alias("n")), "mix-groups")
+        got = materialize(spark, allot(groups, key, tuple(n for n in names.values() if n not in fixed), **options), "mix-allotted")
+        made.keep(got)
+    low, over = F.expr("total div n"), F.expr("total % n")
+    single = got.where("n = 1").withColumn("copies", F.col("total"))
+    out = single
+    if not got.where("n > 1").isEmpty():
+        shared = got.where("n > 1")
+        out = out.unionByName(_times(shared.withColumn("copies", low), F.col("n") - over)).unionByName(_times(shared.withColumn("copies", low + 1), over))
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], "source_size", "target", "copies")
 
 
 def mix(sized: DataFrame, **options) -> DataFrame:
     """The mixture itself: every row of ``sized`` as often as it is emitted."""
-    return _repeated(copies(sized, **options)).select(*sized.columns)
-
-
-def _repeated(rows: DataFrame) -> DataFrame:
-    return rows.where("copies > 0").withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return _times(copies(sized, **options), F.col("copies")).select(*sized.columns)
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixture of whole rows of ``docs``, whatever further columns they have.
 
-    Sizes are counted once and written beside ids and text hashes. Copies are
-    worked out on those narrow rows and joined to the whole rows, so texts are
-    shuffled once at most. Rows equal in id, source and text share the copies
-    they got together: an equal part each, what is left over to the first.
+    Copies are worked out on narrow rows (id, source, size, the hash of the
+    whole row) and joined to the whole rows, so texts are shuffled once at most.
+    Rows equal in all columns are one, with all its copies.
     """
     names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
     rows = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     doc, text, source = (F.col(names[c]) for c in (id_col, text_col, source_col))
-    sized = materialize(spark, rows.select(doc.alias("doc_id"), source.alias("source"), word_count(text).alias("size"), F.xxhash64(text).alias("mark")), "sized")
-    found = copies(sized, ties=("mark",), **options).groupBy("doc_id", "source", "mark").agg(F.count("*").alias("n"), F.sum("copies").alias("total"))
-    found = materialize(spark, found.where("total > 0"), "copies")
-    joined = lambda part: rows.join(part, doc.eqNullSafe(F.col("doc_id")) & source.eqNullSafe(F.col("source")) & (F.xxhash64(text) == F.col("mark")))
-    out = joined(found.where("n = 1")).withColumn("copies", F.col("total"))
+    plain = lambda f: F.col(names[f.name]) if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType) else F.col(names[f.name]).cast("string")
+    mark = F.xxhash64(*[x for f in docs.schema for x in (plain(f), F.col(names[f.name]).isNull())])
+    with scratch(spark) as made:
+        sized = materialize(spark, rows.select(doc.alias("doc_id"), source.alias("source"), word_count(text).alias("size"), mark.alias("mark")), "sized")
+        groups = materialize(spark, sized.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("n")), "mix-groups")
+        found = allot(groups, "doc_id", ("mark",), **options).where("total > 0").select("mark", "n", "total")
+        found = materialize(spark, found, "copies")
+        made.keep(found)
+    joined = lambda part: rows.withColumn("__mark", mark).join(part, F.col("__mark") == F.col("mark"))
+    out = joined(found.where("n = 1"))
     shared = found.where("n > 1")
     if not shared.isEmpty():
-        ordered = [names[f.name] for f in docs.schema if isinstance(f.dataType, AtomicType) and not isinstance(f.dataType, VariantType)]
-        place = F.row_number().over(Window.partitionBy("doc_id", "source", "mark").orderBy(*ordered))
-        part = F.floor(F.col("total") / F.col("n")) + (place <= F.col("total") % F.col("n")).cast("long")
-        out = out.unionByName(joined(shared).withColumn("copies", part))
-    return _repeated(out).select(*[F.col(n).alias(c) for c, n in names.items()])
+        out = out.unionByName(joined(shared).dropDuplicates(["mark"]))
+    return _times(out, F.col("total")).select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 #: The rows of ``copies`` over documents, with taken = copies * size, in DuckDB's dialect.
@@ -120,7 +180,7 @@ l AS (SELECT *, (sum(source_size) OVER ()) * {FACTOR} AS total, ((sum(source_siz
 c AS (SELECT *, most / weight <= level AS capped FROM l),
 t AS (SELECT source, source_size, CASE WHEN capped THEN CAST(most AS DOUBLE) ELSE weight * CAST(total - sum(CASE WHEN capped THEN most ELSE 0 END) OVER () AS DOUBLE) / sum(CASE WHEN capped THEN 0 ELSE weight END) OVER () END AS target,
       CAST('0x' || substr(md5('{SEED}' || coalesce(source, chr(0))), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM c),
-b AS (SELECT *, coalesce(((doc_id % n) + n) % n, 0) AS block FROM (SELECT *, (count(*) OVER (PARTITION BY source, size) + {BLOCK_ROWS - 1}) // {BLOCK_ROWS} AS n FROM sized)),
+b AS (SELECT *, coalesce(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT), 0) % n AS block FROM (SELECT *, (count(DISTINCT doc_id) OVER (PARTITION BY source, size) + {BLOCK_ROWS - 1}) // {BLOCK_ROWS} AS n FROM sized)),
 k AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY size, block, doc_id NULLS FIRST) AS DOUBLE) AS rank FROM b)
 SELECT k.doc_id AS doc_id, k.size AS size, t.source_size AS source_size, t.target AS target,
        CAST(k.size * CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size * rank + u) - floor(t.target / t.source_size * (rank - 1) + u) ELSE 0 END AS BIGINT) AS taken

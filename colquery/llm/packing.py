@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, materialize
 
 CAPACITY, END_ID = 2_048, 0
-BINS, MAX_PARTS, BLOCK_ROWS = 64, 4, 1_000
+BINS, MAX_PARTS, BLOCK_ROWS, HEAVY = 64, 4, 1_000, 16
 Run = tuple[tuple[int, ...], int]  # lengths of the pieces of a sequence, how many such sequences
 
 
@@ -226,12 +226,20 @@ def places(runs: list[Run]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def ranked(pieces: DataFrame, keys: list[str], total: int) -> DataFrame:
-    """Adds ``rank`` (from 0) within equal length, by blocks of about BLOCK_ROWS rows and their running totals."""
+    """Adds ``rank`` (from 0) within equal length, by blocks of about BLOCK_ROWS rows and their running totals.
+
+    Blocks are dealt out by the hash of ``keys``; where rows repeat in all of
+    these so often that a block grows beyond HEAVY times its size, by the row's
+    place in the written table (``__at``).
+    """
     blocks = max(1, -(-total // BLOCK_ROWS))
-    blocked = pieces.withColumn("block", F.pmod(F.xxhash64(*keys), F.lit(blocks)))
-    sizes = blocked.groupBy("length", "block").agg(F.count("*").alias("n"))
-    starts = sizes.select("length", "block", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"))
-    inner = F.row_number().over(Window.partitionBy("length", "block").orderBy(*keys)) - 1
+    deal = lambda *by: pieces.withColumn("block", F.pmod(F.xxhash64(*by), F.lit(blocks)))
+    sizes = lambda df: df.groupBy("length", "block").agg(F.count("*").alias("n"))
+    blocked = deal(*keys)
+    if (sizes(blocked).agg(F.max("n")).first()[0] or 0) > HEAVY * BLOCK_ROWS:
+        blocked = deal("__at")
+    starts = sizes(blocked).select("length", "block", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"))
+    inner = F.row_number().over(Window.partitionBy("length", "block").orderBy(*keys, "__at")) - 1
     return blocked.withColumn("at", inner).join(starts, ["length", "block"]).withColumn("rank", F.col("before") + F.col("at")).drop("block", "before", "at")
 
 
@@ -241,11 +249,12 @@ def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY) -> Da
     ``pieces`` is written once; only the histogram, of at most ``capacity``
     rows, and the plan made of it pass through the driver.
     """
-    kept = materialize(spark, pieces, "pieces")
+    kept = materialize(spark, pieces.withColumn("__at", F.monotonically_increasing_id()), "pieces")
     hist = {int(r["length"]): int(r["n"]) for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = places(plan(hist, capacity))
-    names = [c for c in kept.columns if c not in ("sequence_id", "offset")]
-    placed = ranked(kept.select(*names), ["doc_id", "piece", "start"], sum(hist.values()))
+    names = [c for c in kept.columns if c not in ("sequence_id", "offset", "__at")]
+    keys = ["doc_id", "piece", "start", *(["ids_crc32"] if "ids_crc32" in names else [])]
+    placed = ranked(kept.select(*names, "__at"), keys, sum(hist.values()))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*names).schema) + ", sequence_id long, offset long"
 
     def run(cols):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import table
 from . import language_id, lsh_search, mixing, packing, quality_gam, quality_rules, shingle_join, token_counts, toxicity, warc
-from .common import fold, materialize
+from .common import fold
 from .native import word_count
 
 
@@ -66,7 +66,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    out = mixing.copies(materialize(spark, sized, "sized"))
+    out = mixing.copies(sized)
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 

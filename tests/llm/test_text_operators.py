@@ -325,16 +325,17 @@ def test_mixing_odd(spark, odd, empty):
 
 
 def test_mixing_whole_rows(spark, odd, empty):
-    """Rows keep all columns; each (id, source, text) is emitted as often as its narrow rows are."""
+    """Rows keep all columns; each whole row is emitted as often as its narrow rows are."""
     twice = odd.select("*", F.lit(1).alias("copies"), F.lit("x").alias("mark"), F.array(F.lit(2)).alias("total"))
     twice = twice.unionByName(twice.withColumn("mark", F.lit("y"))).unionByName(twice.withColumn("doc_id", F.lit(None).cast("long")))
-    sized = twice.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
+    mark = F.xxhash64(*[x for c, kind in twice.dtypes for x in (F.col(c).cast("string") if "array" in kind else F.col(c), F.col(c).isNull())])
+    sized = twice.select("doc_id", "source", word_count(F.col("text")).alias("size"), mark.alias("h"))
     want = Counter()
-    for r in mixing.copies(sized, ties=("h",)).collect():
+    for r in mixing.copies(sized).collect():
         want[r.doc_id, r.source, r.h] += r.copies
     mixed = mixing.mix_documents(spark, twice)
     assert mixed.columns == twice.columns
-    got = Counter((r.doc_id, r.source, r.h) for r in mixed.select("doc_id", "source", F.xxhash64("text").alias("h")).collect())
+    got = Counter((r.doc_id, r.source, r.h) for r in mixed.select("doc_id", "source", mark.alias("h")).collect())
     assert got == +want and sum(got.values()) > 0
     assert sorted(map(repr, mixed.collect())) == sorted(map(repr, mixing.mix_documents(spark, twice).collect()))
     assert mixing.mix_documents(spark, empty).count() == 0
@@ -367,6 +368,31 @@ def test_mixing_targets(spark):
     assert all(abs(took[s] - want[s]) <= 600 for s in sizes)
 
 
+def test_mixing_hot_ids(spark, monkeypatch):
+    """Ids in steps, null ids and one row repeated: blocks stay small and every row gets its share."""
+    monkeypatch.setattr(mixing, "CHUNK", 7)
+    docs = [(100 * i, "a", 5) for i in range(400)] + [(None, "a", 5)] * 300 + [(9, "b", 5)] * 100 + [(1, None, 0)]
+    frame = spark.createDataFrame(docs, "doc_id long, source string, size long")
+    got = mixing.copies(frame, block_rows=20).collect()
+    assert Counter((r.doc_id, r.source, r["size"]) for r in got) == Counter(docs)
+    want = brute_targets({"a": 3500, "b": 500, "~": 0})
+    for s in "ab":
+        mine = [r for r in got if r.source == s]
+        low = int(want[s] / mine[0].source_size)
+        assert abs(sum(r.copies * 5 for r in mine) - want[s]) <= 10 and {r.copies for r in mine} <= {low, low + 1}
+    again = mixing.copies(frame.repartition(5), block_rows=20).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    groups = frame.groupBy("source", "size", "doc_id").agg(F.count("*").alias("n"))
+    assert groups.select(F.pmod(mixing._hash("doc_id"), F.lit(20)).alias("b")).groupBy("b").count().agg(F.max("count")).first()[0] < 60
+
+
+def test_packing_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 10)
+    docs = spark.createDataFrame([(None, "same text")] * 400 + [(i, "other text here") for i in range(100)], "doc_id long, text string")
+    rows = packing.pack_documents(spark, docs, queries.pack_tokenizer(), with_ids=False).collect()
+    assert len(rows) == 500 and check_packed(rows, 2048) == -(-sum(r.length for r in rows) // 2048)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_oracles(spark, name):
     assert spark_rows(queries.queries()[name](spark, SF)) == duck(queries.oracle_sql()[name], SF)
