@@ -14,6 +14,7 @@ from colquery.catalog import table
 from colquery.llm import mixing, packing, quality_gam, shingle_join, toxicity
 from colquery.llm.common import materialize
 from colquery.llm.queries import pack_tokenizer
+from colquery.session import discard, scratch
 
 MIN_QUALITY = 0.3
 
@@ -66,7 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages in a row; what a stage wrote is deleted once the next one's table is there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark) as made:
+            done = materialize(spark, stage(spark, docs, sf_dir), f"stage-{name}")
+            made.keep(done)
+        if before is not None:
+            discard(spark, before)
+        docs = before = done
     return docs
