@@ -16,10 +16,17 @@ def aggregate(df: DataFrame, **columns: Column | str) -> DataFrame:
 
 
 def group_aggregate(df: DataFrame, keys: list[str] | str, *, having: str | None = None, hide_keys: bool = False,
-                    rollup: bool = False, **columns: Column | str) -> DataFrame:
-    """Group by ``keys`` (NULL keys form one group); ``hide_keys`` leaves them out of the result."""
+                    rollup: bool = False, cube: bool = False, sets: list[list[str]] | None = None, **columns: Column | str) -> DataFrame:
+    """Group by ``keys`` (NULL keys form one group); ``hide_keys`` leaves them out of the result.
+
+    ``rollup``, ``cube`` and ``sets`` (grouping sets, lists of keys) group more than once.
+    """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    out = (df.rollup(*keys) if rollup else df.groupBy(*keys)).agg(*_named(columns))
+    if sets is not None:
+        grouped = df.groupingSets([[F.col(k) for k in s] for s in sets], *keys)
+    else:
+        grouped = df.rollup(*keys) if rollup else df.cube(*keys) if cube else df.groupBy(*keys)
+    out = grouped.agg(*_named(columns))
     if having:
         out = out.where(having)
     return out.select(*columns) if hide_keys else out

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.config import EngineConfig
+
 STRATEGIES = {"broadcast": "BROADCAST", "shuffle_hash": "SHUFFLE_HASH", "merge": "MERGE"}
 
 
 def equi_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], *, how: str = "inner",
-              residual: Column | str | None = None, strategy: str | None = None) -> DataFrame:
+              residual: Column | str | None = None, strategy: str | None = None, config: EngineConfig | None = None) -> DataFrame:
     """Join on ``l.a = r.b`` for each (a, b); NULL keys never match.
 
     Sides are aliased ``l`` and ``r``; ``residual`` may use both. Without a
     ``strategy`` Catalyst picks one by size and AQE revises it; the hint is a
-    switch for tests and for sides whose size the caller has checked.
+    switch for tests and for sides whose size the caller has checked. Under a
+    ``config`` with hash joins switched off, joins merge.
     """
+    strategy = strategy or (config.join_strategy if config else None)
     left, right = left.alias("l"), right.alias("r")
     if strategy:
         right = right.hint(STRATEGIES[strategy])
@@ -26,3 +30,15 @@ def equi_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], *, h
     if residual is not None:
         cond = cond & (F.expr(residual) if isinstance(residual, str) else residual)
     return left.join(right, cond, how)
+
+
+#: Rows of a side up to which a join without equal keys is allowed: that side is broadcast.
+MAX_THETA_ROWS = 100_000
+
+
+def theta_join(left: DataFrame, right: DataFrame, condition: Column | str, *, how: str = "inner") -> DataFrame:
+    """A join by any condition over ``l`` and ``r``, against a right side of counted, bounded size."""
+    if right.count() > MAX_THETA_ROWS:
+        raise ValueError(f"the right side of a join without equal keys has more than {MAX_THETA_ROWS} rows")
+    cond = F.expr(condition) if isinstance(condition, str) else condition
+    return left.alias("l").join(F.broadcast(right.alias("r")), cond, how)

@@ -1,4 +1,4 @@
-"""Plan counters, and registries and engine switches that nothing uses yet."""
+"""Plan counters, engine switches and the registries of operators and sources, filled by ``colquery.builtin``."""
 
 from .config import EngineConfig
 from .counters import plan_counters

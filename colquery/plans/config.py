@@ -1,4 +1,4 @@
-"""Engine switches by name. No operator or source reads them yet."""
+"""Engine switches by name; ``equi_join``, ``read_snapshot``, ``read_table`` and ``read_arrow`` take them as ``config``."""
 
 from __future__ import annotations
 

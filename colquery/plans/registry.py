@@ -22,7 +22,7 @@ class Registry:
     def __init__(self, kind: str):
         self.kind, self._entries = kind, {}
 
-    def register(self, name: str, apply: Callable, *, supports: Callable = lambda *_: True, api_version: int = API_VERSION) -> Entry:
+    def register(self, name: str, apply: Callable, *, supports: Callable = lambda *_, **__: True, api_version: int = API_VERSION) -> Entry:
         if api_version != API_VERSION:
             raise ValueError(f'{self.kind} "{name}" has API version {api_version}, expected {API_VERSION}')
         if name in self._entries:
@@ -41,6 +41,13 @@ class Registry:
     def unregister(self, name: str) -> None:
         del self._entries[self.get(name).name]
 
+    def apply(self, name: str, *inputs, **options):
+        """Runs an entry after asking it whether it supports the inputs and options."""
+        entry = self.get(name)
+        if not entry.supports(*inputs, **options):
+            raise ValueError(f'{self.kind} "{name}" does not support this input')
+        return entry.apply(*inputs, **options)
+
     def names(self) -> list[str]:
         return sorted(self._entries)
 

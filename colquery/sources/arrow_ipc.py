@@ -24,6 +24,9 @@ from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualTo, Great
                                     IsNotNull, LessThan, LessThanOrEqual)
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from ..plans.config import EngineConfig
+from ..session import ship_package
+
 NAME = "colquery_arrow"
 COMPARE = {EqualTo: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal, LessThan: pc.less, LessThanOrEqual: pc.less_equal}
 OPERATORS = {"=": EqualTo, ">": GreaterThan, ">=": GreaterThanOrEqual, "<": LessThan, "<=": LessThanOrEqual}
@@ -88,24 +91,40 @@ class ArrowReader(DataSourceReader):
         return mask
 
     def read(self, partition: StreamFile) -> Iterator:
+        """Filter columns of every record batch are decoded first, the others only of batches with survivors."""
         fs, p = _fs(partition.file)
-        needed = list(dict.fromkeys([*self.columns, *(n for _, n, _ in self.filters)]))
-        with fs.open_input_stream(p) as f:
+        masks = None
+        if self.filters:
+            tested = list(dict.fromkeys(n for _, n, _ in self.filters))
+            masks = [pc.fill_null(self._mask(batch), False) for batch in self._decoded(fs, p, tested)]
+            if not any(m.true_count for m in masks):
+                return
+        for k, out in enumerate(self._decoded(fs, p, self.columns, None if masks is None else [bool(m.true_count) for m in masks])):
+            if out is None:
+                continue
+            if masks is not None:
+                out = out.filter(masks[k])
+            if not out.num_rows:
+                continue
+            if self.by_batch:
+                yield out.select(self.columns)
+            else:
+                yield from zip(*(c.to_pylist() for c in out.select(self.columns).columns))
+
+    def _decoded(self, fs, path: str, columns: list[str], wanted: list[bool] | None = None) -> Iterator[pa.RecordBatch | None]:
+        """Record batches with ``columns``; None, undecoded, for those that aren't wanted."""
+        if wanted is not None and not all(wanted):
+            with fs.open_input_stream(path) as f:
+                messages = ipc.MessageReader.open_stream(f)
+                schema = ipc.read_schema(messages.read_next_message())
+                for want in wanted:
+                    message = messages.read_next_message()
+                    yield ipc.read_record_batch(message, schema).select(columns) if want else None
+            return
+        with fs.open_input_stream(path) as f:
             schema = ipc.open_stream(f).schema
-        fields = [schema.get_field_index(c) for c in needed]
-        with fs.open_input_stream(p) as f:
-            stream = ipc.open_stream(f, options=ipc.IpcReadOptions(included_fields=sorted(fields)))
-            for batch in stream:
-                mask = self._mask(batch)
-                out = batch.select(self.columns)
-                if mask is not None:
-                    out = out.filter(pc.fill_null(mask, False))
-                if not out.num_rows:
-                    continue
-                if self.by_batch:
-                    yield out
-                else:
-                    yield from zip(*(c.to_pylist() for c in out.columns))
+        with fs.open_input_stream(path) as f:
+            yield from ipc.open_stream(f, options=ipc.IpcReadOptions(included_fields=sorted(schema.get_field_index(c) for c in columns)))
 
 
 class PushingArrowReader(ArrowReader):
@@ -148,13 +167,25 @@ class ArrowIpcSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship_package(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ArrowIpcSource)
 
 
-def read_arrow(spark: SparkSession, path: str, *, columns=None, predicates=(), pushdown: bool = False, rows: bool = False) -> DataFrame:
-    """``columns`` is the column pruning: only those and the predicates' are decoded."""
+def read_arrow(spark: SparkSession, path: str, *, columns=None, predicates=(), pushdown: bool = False, rows: bool = False, config: EngineConfig | None = None) -> DataFrame:
+    """``columns`` is the column pruning: only those and the predicates' are decoded.
+
+    Under a ``config`` whose switches are off, columns are pruned and predicates
+    evaluated by Spark after reading; the rows are the same.
+    """
     register(spark)
+    if config is not None and predicates and not (config.enable and config.arrow_pushdown):
+        df = read_arrow(spark, path, rows=rows, config=config)
+        for name, op, value in predicates:
+            df = df.where(F.lit(None).cast("boolean") if value is None else F.expr(f"`{name}` {op} {int(value)}"))
+        return df.select(*columns) if columns else df
+    if config is not None and columns and not (config.enable and config.arrow_column_pruning):
+        return read_arrow(spark, path, predicates=predicates, pushdown=pushdown, rows=rows).select(*columns)
     reader = spark.read.format(NAME).option("path", path).option("predicates", json.dumps([list(p) for p in predicates])).option("pushdown", str(pushdown).lower()).option("rows", str(rows).lower())
     if columns:
         reader = reader.option("columns", ",".join(columns))

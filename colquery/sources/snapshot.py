@@ -5,8 +5,9 @@ row per (group, column): null count, min, max and the exact value set where it
 has at most 16 members. It is a copy: later changes of the table don't show.
 
 Three ways to read: ``batch`` (no source filtering), ``prune`` (skip groups by
-min/max and by the value set; rows are rechecked) and ``filter`` (prune and
-filter exactly, arithmetic filters included).
+min/max and by the value set; Spark rechecks rows) and ``filter`` (prune, and
+filter exactly while reading, arithmetic filters included; nothing is rechecked).
+``read_table`` reads a base table or its snapshot, as the switches say.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from ..session import materialize
+from ..plans.config import EngineConfig
+from ..session import materialize, ship_package
+from .predicates import EXACT, classify, predicate_text
+from .snapshot_reader import load
 
 SET_LIMIT = 16
 BATCH = 64
@@ -95,22 +99,60 @@ def _judged(spark: SparkSession, path: str, predicates) -> DataFrame:
 INLINE_GROUPS = 2048
 
 
-def read_snapshot(spark: SparkSession, path: str, predicates=(), *, mode: str = "filter", filters: Sequence[str] = ()) -> DataFrame:
+def compress(df: DataFrame, path: str, group_rows: int = 4096, order_by: Sequence[str] = ()) -> int:
+    """The snapshot sink: writes as ``write_snapshot`` does and returns the bytes written."""
+    write_snapshot(df, path, group_rows, order_by)
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def read_snapshot(spark: SparkSession, path: str, predicates=(), *, mode: str | None = None, filters: Sequence[str] = (), columns: Sequence[str] = (), config: EngineConfig | None = None) -> DataFrame:
+    """``predicates`` are (column, operator, int or None), ``filters`` SQL text; ``mode`` defaults to the switch of ``config``."""
+    mode = mode or (config or EngineConfig()).snapshot_mode
     if mode not in ("batch", "prune", "filter"):
         raise ValueError(f"unknown snapshot mode {mode}")
     df = spark.read.parquet(f"{path}/data")
+    known = [c for c in df.columns if not c.startswith("__")]
+    wanted = list(columns) or known
+    few = None
     if mode != "batch" and predicates:
         live = _judged(spark, path, predicates).where("NOT by_range AND NOT by_set").select("__group")
         few = [r[0] for r in live.limit(INLINE_GROUPS + 1).collect()]
-        if len(few) <= INLINE_GROUPS:
-            df = df.where(F.col("__group").isin(few)) if few else df.limit(0)
-        else:
+        if not few or any(v is None for _, _, v in predicates):
+            return df.select(*wanted).limit(0)
+        if len(few) > INLINE_GROUPS:
+            few = None
             df = df.join(live, "__group", "left_semi")
-    for col, op, v in predicates:  # in prune mode this is the executor's recheck
-        df = df.where(F.expr(f"`{col}` {op} {'CAST(NULL AS INT)' if v is None else int(v)}"))
+        else:
+            df = df.where(F.col("__group").isin(few))
+    exact = [predicate_text(p) for p in predicates if p[2] is not None and classify(mode, known, predicate=p) == EXACT]
+    exact += [t for t in filters if classify(mode, known, text=t) == EXACT]
+    if exact:
+        needed = [*wanted, *(c for c in known if c not in wanted)] if len(exact) < len(predicates) + len(filters) else wanted
+        ship_package(spark)
+        df = load(spark, path, needed, exact, few)
+    for p in predicates:  # what the source left: the executor's recheck
+        if p[2] is None:
+            df = df.where(F.lit(None).cast("boolean"))
+        elif predicate_text(p) not in exact:
+            df = df.where(F.expr(f"`{p[0]}` {p[1]} {int(p[2])}"))
+    for text in filters:
+        if text not in exact:
+            df = df.where(text)
+    return df.select(*wanted)
+
+
+def read_table(base: DataFrame, path: str | None, predicates=(), *, filters: Sequence[str] = (), config: EngineConfig | None = None) -> DataFrame:
+    """Rows of ``base`` that pass, from its snapshot where there is one and the switches allow it. The base table stays as it is."""
+    config = config or EngineConfig()
+    if path and config.enable and config.snapshot_enable:
+        return read_snapshot(base.sparkSession, path, predicates, filters=filters, columns=base.columns, config=config)
+    for col, op, v in predicates:
+        base = base.where(F.lit(None).cast("boolean") if v is None else F.expr(f"`{col}` {op} {int(v)}"))
     for text in filters:
-        df = df.where(text)
-    return df.drop("__group", "__row")
+        base = base.where(text)
+    return base
 
 
 def prune_stats(spark: SparkSession, path: str, predicates) -> DataFrame:
@@ -119,7 +161,7 @@ def prune_stats(spark: SparkSession, path: str, predicates) -> DataFrame:
     counts = judged.agg(F.count("*").alias("groups_examined"), F.count_if("by_range").alias("skipped_min_max"),
                         F.count_if(F.expr("NOT by_range AND by_set")).alias("skipped_membership"),
                         F.coalesce(F.sum(F.when(~F.col("by_range") & ~F.col("by_set"), F.col("n_rows"))), F.lit(0)).alias("rows_read"))
-    kept = read_snapshot(spark, path, predicates).agg(F.count("*").alias("rows_out"))
+    kept = read_snapshot(spark, path, predicates, mode="prune").agg(F.count("*").alias("rows_out"))
     total = judged.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n"))
     return counts.crossJoin(kept).crossJoin(total).select(*counts.columns, "rows_out", (F.col("n") - F.col("rows_out")).alias("rows_removed"))
 

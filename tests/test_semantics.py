@@ -175,3 +175,136 @@ def test_registry_and_config(plain):
 def test_counters(spark):
     counted = plan_counters(spark.range(100).where("id % 2 = 0"))
     assert any(n.get("numOutputRows") == 50 for n in counted)
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_parameters_are_values(spark):
+    df = spark.createDataFrame([(1, "a"), (5, "it's :p {x}"), (9, None)], "v int, t string")
+    assert [r.v for r in ops.filter_rows(df, "v > :p", "v < :pmax", args={"p": 1, "pmax": 9}).collect()] == [5]
+    assert [r.v for r in ops.filter_rows(df, "t = :t", args={"t": "it's :p {x}"}).collect()] == [5]
+    assert [r.v for r in ops.filter_rows(df, "t LIKE '%{x}' AND v > :p", args={"p": 0}).collect()] == [5]
+    run = ops.prepared(df, "v >= :lo")
+    assert [run(lo=x).count() for x in (1, 6, None)] == [3, 1, 0]
+
+
+def test_predicates_reach_the_scan(spark):
+    from colquery.queries import CATALOGUE
+
+    for name, column in (("scan_range", "l_orderkey"), ("scan_bitmap_and", "l_partkey"), ("scan_bitmap_or", "Or("), ("scan_range_param", "l_orderkey")):
+        text = CATALOGUE[name][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        pushed = next(x for x in text.splitlines() if "PushedFilters" in x)
+        assert column in pushed and "l_comment" not in text, name
+
+
+def test_classes_of_filters():
+    from colquery.sources import EXACT, PRUNE_ONLY, UNSUPPORTED, classify
+
+    one, known = ("c1", "<", 5), ["c1", "c2"]
+    assert [classify(m, known, predicate=one) for m in ("batch", "prune", "filter")] == [UNSUPPORTED, PRUNE_ONLY, EXACT]
+    assert [classify(m, known, text="(c2 + 3) * 2 > 20") for m in ("batch", "prune", "filter")] == [UNSUPPORTED, UNSUPPORTED, EXACT]
+    assert [classify("filter", known, text=t) for t in ("c1 + c2 < 3", "c9 = 1", "c1 IS NULL", "c1 < 99999999999")] == [UNSUPPORTED] * 4
+
+
+def test_filter_mode_filters_in_the_source(spark, snapshot):
+    """The plan has no filter above the source in filter mode, and one in prune mode."""
+    args = ([("c2", "=", 2), ("c1", ">", 100)],)
+    exact = read_snapshot(spark, snapshot, *args, filters=["(c3 + 1) % 5 = 2"])
+    want = read_snapshot(spark, snapshot, *args, mode="batch", filters=["(c3 + 1) % 5 = 2"])
+    assert sorted(map(tuple, exact.collect())) == sorted(map(tuple, want.collect())) and exact.count() > 0
+    optimized = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in optimized(exact) and "Filter" in optimized(read_snapshot(spark, snapshot, *args, mode="prune"))
+    with pytest.raises(PySparkException):
+        read_snapshot(spark, snapshot, filters=["c1 + 2147483647 > 0"]).collect()
+    assert read_snapshot(spark, snapshot, [("c1", ">", 9)], filters=["10 / (c1 - 9) > 2"]).count() == 3  # rows that an earlier filter dropped don't divide by zero
+
+
+def test_switches(spark, snapshot, stream):
+    from colquery.sources import compress, read_table
+
+    base = rows(spark, 384, "c1=id", "c2=(id % 4) * 2", "c3=id + 1000")
+    scans = lambda config: "snapshot" in read_table(base, snapshot, [("c2", "=", 2)], config=config)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert scans(EngineConfig()) and not scans(EngineConfig(snapshot_enable=False)) and not scans(EngineConfig(enable=False))
+    joined = ops.equi_join(base, base.limit(3), [("c1", "c1")], config=EngineConfig(enable_hash_join=False))
+    assert "SortMergeJoin" in plan(joined)
+    on, off = (read_arrow(spark, stream, columns=["c8"], predicates=[("c2", "<", 10)], config=c) for c in (EngineConfig(), EngineConfig(arrow_pushdown=False, arrow_column_pruning=False)))
+    assert sorted(on.collect()) == sorted(off.collect()) and "Filter" in plan(off) and "Filter" not in plan(on).split("== Physical Plan ==")[0].split("== Optimized")[1]
+    path = work_path(spark, "compressed")
+    assert compress(base, path, 128) > 0 and read_snapshot(spark, path).count() == 384
+
+
+def test_lazy_decoding(spark, stream):
+    """Batches without survivors are never decoded beyond their filter columns."""
+    from colquery.sources.arrow_ipc import ArrowReader
+
+    reader = ArrowReader(stream, ["c8"], True, [("c2", "<", 10)])
+    seen = []
+    whole = reader._decoded
+    reader._decoded = lambda fs, p, columns, wanted=None: (seen.append((tuple(columns), wanted)), whole(fs, p, columns, wanted))[1]
+    got = [v for part in reader.partitions() for b in reader.read(part) for v in b.column(0).to_pylist()]
+    assert sum(got) == 85 and len(got) == 7
+    first = [w for c, w in seen if c == ("c8",)]
+    assert all(c == ("c2",) for c, w in seen if w is None) and any(not all(w) for w in first)
+
+
+def test_registries_are_filled(spark, plain):
+    from colquery.builtin import operators, register_builtin, sources
+
+    register_builtin()
+    assert {"filter", "equi_join", "batches", "group_aggregate"} <= set(operators.names()) and {"arrow", "snapshot"} <= set(sources.names())
+    assert operators.apply("filter", plain, "c2 < 10").count() == 7
+    with pytest.raises(ValueError, match="does not support"):
+        operators.apply("equi_join", plain, 3, [("c1", "c1")])
+    with pytest.raises(ValueError, match="does not support"):
+        operators.apply("batches", spark.range(3), ops.Int4Map, column="id")
+
+
+def test_batch_operator_lifecycle(spark):
+    import pyarrow as pa
+
+    class Head(ops.UnaryBatch):
+        """Counts rows, stops after three, and says so at the end."""
+
+        schema = "id long"
+
+        def open(self):
+            self.n = 0
+
+        def process(self, batch):
+            self.n += batch.num_rows
+            if self.n >= 3:
+                raise self.Stop(batch.slice(0, 1))
+            return None
+
+        def close(self):
+            return pa.RecordBatch.from_pydict({"id": pa.array([-self.n], pa.int64())})
+
+    got = [r.id for r in ops.apply_batches(spark.range(0, 10, 1, 1), Head).collect()]
+    assert got == [0, -10]
+
+
+def test_key_filter_before_a_shuffled_join(spark):
+    """A selective side makes a bloom filter that drops probe rows before they are shuffled."""
+    path = work_path(spark, "probe")
+    spark.range(0, 400_000, 1, 4).selectExpr("id AS k", "id % 1000 AS v").write.parquet(path)
+    names = {"spark.sql.optimizer.runtime.bloomFilter.enabled": "true", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        big = spark.read.parquet(path)
+        joined = ops.equi_join(big, big.where("v = 7"), [("k", "k")])
+        assert "might_contain" in plan(joined) and joined.count() == 400
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_theta_join_is_bounded(spark, monkeypatch):
+    from colquery.operators import join
+
+    monkeypatch.setattr(join, "MAX_THETA_ROWS", 5)
+    with pytest.raises(ValueError, match="more than 5 rows"):
+        ops.theta_join(spark.range(3), spark.range(6), "l.id < r.id")
