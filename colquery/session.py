@@ -107,11 +107,22 @@ def _delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Rows and bytes of a batch that goes to a Python worker, where the session sets none: texts are long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to Python workers, once per application, unless PYTHONPATH already names its folder."""
+    bound_batches(spark)
     home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     app = spark.sparkContext.applicationId
     if app in _shipped or home in os.environ.get("PYTHONPATH", "").split(os.pathsep):
