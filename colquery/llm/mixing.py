@@ -37,8 +37,8 @@ from .common import materialize
 from .native import word_count
 
 WEIGHTS, FACTOR, CAP, BLOCK_ROWS, CHUNK, SEED = (3, 1, 2), 1.5, 2, 1_000, 1_000, "mix-1"
-#: Sources up to which their counted table is broadcast.
-MAX_BROADCAST = 200_000
+#: Rows of a few numbers up to which a counted table is broadcast; beyond it both sides are shuffled.
+MAX_BROADCAST = 500_000
 
 
 def targets(groups: DataFrame, weights=WEIGHTS, factor: float = FACTOR, cap: int = CAP, seed: str = SEED) -> DataFrame:
@@ -84,7 +84,7 @@ def allot(groups: DataFrame, key: str, ties: tuple[str, ...], block_rows: int =
     Groups of equal size go by block, ``key`` and ``ties``.
     """
     per = targets(groups, **options).withColumnRenamed("source", "__src")
-    few = per.count() <= MAX_BROADCAST
+    few = per.count() <= MAX_BROADCAST // 4
     sizes = groups.groupBy("source", "size").agg(F.count("*").alias("__g"), F.sum("n").alias("__n"))
     by_size = Window.partitionBy("source").orderBy("size")
     sizes = sizes.select(F.col("source").alias("__source"), F.col("size").alias("__size"), F.ceil(F.col("__g") / block_rows).alias("__blocks"), (F.sum("__n").over(by_size) - F.col("__n")).alias("__below"))
@@ -162,7 +162,8 @@ def mix_documents(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id
         found = allot(groups, "doc_id", ("mark",), **options).where("total > 0").select("mark", "n", "total")
         found = materialize(spark, found, "copies")
         made.keep(found)
-    joined = lambda part: rows.withColumn("__mark", mark).join(part, F.col("__mark") == F.col("mark"))
+    side = F.broadcast if found.count() <= MAX_BROADCAST else (lambda part: part)
+    joined = lambda part: rows.withColumn("__mark", mark).join(side(part), F.col("__mark") == F.col("mark"))
     out = joined(found.where("n = 1"))
     shared = found.where("n > 1")
     if not shared.isEmpty():
