@@ -176,11 +176,16 @@ def test_gam_finds_an_interaction():
     assert (0, 1) in model.pairs and ((model.score(x) > 0.5) == y).mean() > 0.9
 
 
-def test_every_language_is_learned(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 3)
+def test_every_language_is_learned(spark):
+    """Also where languages are more than a full sample of each would allow, and whatever ids and texts repeat."""
     rows = [(100 * i + k, f"{x * 4} {x * 6} w{k}", f"l{x}") for i, x in enumerate("abcdefg") for k in range(20)]
-    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=10)
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=10, max_total=21)
     assert sorted(n for names in model.langs.values() for n in names) == [f"l{x}" for x in "abcdefg"]
+    same = spark.createDataFrame([(None, t, n) for _, t, n in rows] + [(7, "one text", "la")] * 3000, "doc_id long, text string, lang string")
+    model = language_id.train(same)
+    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 34"), (4, "dddd dddddd")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(odd, model).collect()}
+    assert [got[k] for k in (1, 2, 3)] == [("und", 0.0)] * 3 and got[4][0] == "ld"
 
 
 def test_language_held_out(spark, odd, empty):
