@@ -308,3 +308,77 @@ def test_theta_join_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(join, "MAX_THETA_ROWS", 5)
     with pytest.raises(ValueError, match="more than 5 rows"):
         ops.theta_join(spark.range(3), spark.range(6), "l.id < r.id")
+
+
+def most_joined(df):
+    """The most rows that a join of the executed plan let out."""
+    return max(n.get("numOutputRows", 0) for n in plan_counters(df) if "Join" in n["node"])
+
+
+@pytest.mark.parametrize("name", ["join_duplicates", "join_one_key", "join_two_keys", "join_three_keys", "join_left", "join_right", "join_full", "join_hash_off", "agg_over_join", "join_scalar_residual",
+                                  "join_hint_broadcast", "join_hint_shuffle_hash", "join_hint_merge"])
+def test_totals_form_no_pairs(spark, name):
+    """A copy of every row makes four times the pairs; joins let out what they did before, and the totals follow."""
+    from colquery import queries as catalogue
+
+    sf = "/root/testdata/sf0.001"
+    once = catalogue.CATALOGUE[name][0](spark, sf)
+    path = work_path(spark, "copied")
+    for t in ("orders", "part"):
+        df = spark.read.parquet(f"{sf}/{t}.parquet")
+        df.unionAll(df).write.parquet(f"{path}/{t}.parquet")
+    twice = catalogue.CATALOGUE[name][0](spark, path)
+    assert most_joined(once) == most_joined(twice) > 0
+    if name not in ("join_left", "join_right", "join_full"):
+        assert sum(r.n for r in twice.collect()) == 4 * sum(r.n for r in once.collect())
+
+
+def odd_sides(spark):
+    left = rows(spark, 400, "k=CASE WHEN id % 11 = 0 THEN NULL ELSE id % 7 * (id % 5) END", "j=id % 2", "v=CASE WHEN id % 9 = 0 THEN NULL ELSE id % 23 - 11 END").unionAll(rows(spark, 3, "k=99", "j=0", "v=NULL"))
+    right = rows(spark, 300, "k=CASE WHEN id % 13 = 0 THEN NULL ELSE id % 31 END", "j=id % 3", "v=CASE WHEN id % 4 = 0 THEN NULL ELSE id % 19 - 9 END").unionAll(rows(spark, 2, "k=99", "j=0", "v=5"))
+    return left, right
+
+
+TOTALS = {"n": "*", "a": "l.v", "b": "r.v"}
+
+
+def pairs_summed(left, right, on, **options):
+    return tuple(ops.equi_join(left, right, on, **options).agg(F.expr("count(*)"), F.expr("sum(l.v)"), F.expr("sum(r.v)")).first())
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_totals_equal_those_of_pairs(spark, how):
+    left, right = odd_sides(spark)
+    for l, r, on in ((left, right, [("k", "k")]), (left, right, [("k", "k"), ("j", "j")]), (left, right.where("v IS NULL"), [("k", "k")]), (left.where("k = 77"), right, [("k", "k")])):
+        assert tuple(ops.join_totals(l, r, on, how=how, **TOTALS).first()) == pairs_summed(l, r, on, how=how)
+
+
+def test_totals_with_residuals_equal_those_of_pairs(spark):
+    left, right = odd_sides(spark)
+    third = {"m": "v % 3"}
+    for l, r, on in ((left, right, [("k", "k"), ("j", "j")]), (left.where("k = 99"), right, [("k", "k")]), (left.where("v = 5"), right.where("v = 5"), [("k", "k")])):
+        got = [ops.join_totals(l, r, on, unequal=("v", "v"), **TOTALS), ops.join_totals_below(l, r, on, ("v", "v"), **TOTALS),
+               ops.join_totals(l, r, on, left_by=third, right_by=third, residual="(l.m + r.m) % 3 = 0", **TOTALS)]
+        want = [pairs_summed(l, r, on, residual=x) for x in ("l.v <> r.v", "l.v < r.v", "(l.v + r.v) % 3 = 0")]
+        assert [tuple(x.first()) for x in got] == want
+
+
+def test_sums_beyond_int4_stay_errors(spark):
+    """The residual's int4 sum overflows for one pair only; other keys' extremes don't count."""
+    from colquery import queries as catalogue
+
+    third = {"left_by": catalogue._THIRD, "right_by": catalogue._THIRD, "residual": catalogue._THIRD_SUM}
+    left = spark.sql("SELECT * FROM VALUES (1, 2147483647), (1, 4), (2, 5), (3, NULL) AS x(k, v)")
+    fine = spark.sql("SELECT * FROM VALUES (1, -1), (2, 2147483642), (2, 1), (3, 9) AS x(k, v)")
+    on = [("k", "k")]
+    assert tuple(ops.join_totals(left, fine, on, **third, **TOTALS).first()) == pairs_summed(left, fine, on, residual="(l.v + r.v) % 3 = 0")
+    with pytest.raises(PySparkException):
+        ops.join_totals(left, fine.unionAll(spark.sql("SELECT 1, 2")), on, **third, **TOTALS).collect()
+
+
+def test_totals_beyond_int8_are_errors(spark):
+    """9 * 10^12 pairs are no work; a sum of 1.8 * 10^22 is an error, as in SQL."""
+    many = spark.range(0, 3_000_000, 1, 8).selectExpr("CAST(1 AS INT) AS k", "CAST(7 AS INT) AS v")
+    assert tuple(ops.join_totals(many, many, [("k", "k")], **TOTALS).first()) == (9 * 10**12, 63 * 10**12, 63 * 10**12)
+    with pytest.raises(PySparkException):
+        ops.join_totals(many.selectExpr("k", "CAST(2000000000 AS INT) AS v"), many, [("k", "k")], **TOTALS).collect()
