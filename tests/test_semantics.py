@@ -382,3 +382,29 @@ def test_totals_beyond_int8_are_errors(spark):
     assert tuple(ops.join_totals(many, many, [("k", "k")], **TOTALS).first()) == (9 * 10**12, 63 * 10**12, 63 * 10**12)
     with pytest.raises(PySparkException):
         ops.join_totals(many.selectExpr("k", "CAST(2000000000 AS INT) AS v"), many, [("k", "k")], **TOTALS).collect()
+
+
+def chained(o, i, p):
+    """The chain by pairs."""
+    inner = ops.equi_join(o, i, [("k1", "k1")]).selectExpr("l.v AS v", "r.v AS w")
+    return tuple(ops.equi_join(inner, p, [("w", "id")]).agg(F.expr("count(*)"), F.expr("sum(l.v + r.g)")).first())
+
+
+def test_chain_of_joins_forms_no_pairs(spark, monkeypatch):
+    """On repeated and NULL keys and values the chain's totals are those of pairs, but no join lets out more rows than part has; int4 overflow stays an error."""
+    from colquery import queries as catalogue
+
+    o = rows(spark, 600, "k1=CASE WHEN id % 10 = 0 THEN NULL ELSE id % 5 END", "v=CASE WHEN id % 7 = 0 THEN NULL ELSE id END")
+    i = rows(spark, 90, "k1=CASE WHEN id % 8 = 0 THEN NULL ELSE id % 6 END", "v=CASE WHEN id % 9 = 0 THEN NULL ELSE id % 20 END")
+    p = rows(spark, 200, "id=CASE WHEN id % 3 = 0 THEN NULL ELSE id % 40 END", "g=CASE WHEN id % 4 = 0 THEN NULL ELSE id - 100 END")
+    sides = {catalogue.JO: o, catalogue.JI: i, catalogue.OI: p}
+    monkeypatch.setattr(catalogue, "view", lambda s, d, text: sides[text])
+    chain = lambda: catalogue.CATALOGUE["join_chain"][0](spark, "")
+    assert tuple(chain().first()) == chained(o, i, p) and most_joined(chain()) <= 90
+    sides[catalogue.OI] = p.where("g IS NULL")
+    assert tuple(chain().first()) == chained(o, i, p.where("g IS NULL"))
+    sides[catalogue.OI] = p.where("false")
+    assert tuple(chain().first()) == (0, None)
+    sides[catalogue.OI] = p.unionAll(spark.sql("SELECT 7, 2147483600"))
+    with pytest.raises(PySparkException):
+        chain().collect()
