@@ -198,7 +198,7 @@ _join("join_full", "k1", how="full")
 for _hint in ("broadcast", "shuffle_hash", "merge"):
     _join(f"join_hint_{_hint}", "k1,k2", "l.v <> r.v", strategy=_hint, grouped={"unequal": ("v", "v")})
 SKEW = "SELECT CAST(CASE WHEN l_orderkey % 3 = 0 THEN 7 ELSE l_orderkey % 900 END AS INT) AS k1, CAST(l_suppkey AS INT) AS v FROM lineitem"
-add("join_skew", lambda s, d: ops.equi_join(view(s, d, SKEW), view(s, d, JI), [("k1", "k1")]).agg(*[F.expr(c).alias(n) for n, c in JDIGEST.items()]), f"{JDIGEST_SQL} FROM ({SKEW}) l JOIN ({JI}) r ON l.k1 = r.k1")
+add("join_skew", lambda s, d: ops.join_totals(view(s, d, SKEW), view(s, d, JI), [("k1", "k1")], **JTOTALS), f"{JDIGEST_SQL} FROM ({SKEW}) l JOIN ({JI}) r ON l.k1 = r.k1")
 add("join_output_expr", lambda s, d: ops.equi_join(*_sides(s, d), [("k1", "k1"), ("k2", "k2")]).selectExpr("l.v AS v", "l.v + r.v AS projected"),
     f"SELECT l.v AS v, l.v + r.v AS projected FROM ({JO}) l JOIN ({JI}) r ON l.k1 = r.k1 AND l.k2 = r.k2")
 

@@ -315,7 +315,7 @@ def most_joined(df):
     return max(n.get("numOutputRows", 0) for n in plan_counters(df) if "Join" in n["node"])
 
 
-@pytest.mark.parametrize("name", ["join_duplicates", "join_one_key", "join_two_keys", "join_three_keys", "join_left", "join_right", "join_full", "join_hash_off", "agg_over_join", "join_scalar_residual",
+@pytest.mark.parametrize("name", ["join_duplicates", "join_one_key", "join_two_keys", "join_three_keys", "join_left", "join_right", "join_full", "join_hash_off", "agg_over_join", "join_scalar_residual", "join_skew",
                                   "join_hint_broadcast", "join_hint_shuffle_hash", "join_hint_merge"])
 def test_totals_form_no_pairs(spark, name):
     """A copy of every row makes four times the pairs; joins let out what they did before, and the totals follow."""
@@ -324,7 +324,7 @@ def test_totals_form_no_pairs(spark, name):
     sf = "/root/testdata/sf0.001"
     once = catalogue.CATALOGUE[name][0](spark, sf)
     path = work_path(spark, "copied")
-    for t in ("orders", "part"):
+    for t in ("orders", "part", "lineitem"):
         df = spark.read.parquet(f"{sf}/{t}.parquet")
         df.unionAll(df).write.parquet(f"{path}/{t}.parquet")
     twice = catalogue.CATALOGUE[name][0](spark, path)
