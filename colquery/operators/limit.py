@@ -5,37 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INT_MAX = 2**31 - 1
+#: Rows up to which LIMIT and OFFSET are left to Spark, which brings all rows up to their end, or beyond OFFSET, into one task.
+MAX_ONE_TASK = 100_000
+INT8_MAX = 2**63 - 1
 
 
 def limit_offset(df: DataFrame, n: int | None = None, offset: int | None = None, order_by=None) -> DataFrame:
     """NULL limit: none. NULL offset: 0. Negative: an error. Both may be any int8.
 
-    Spark's own limit takes an int: a larger LIMIT is no limit, and a larger
-    OFFSET counts rows by rank only then. ``order_by`` should be a unique key.
+    A LIMIT whose end is near is a top-k. Anything else is cut by the rows'
+    numbers, which are found by a range sort and partition totals, and sorted
+    again in as many tasks as it takes. ``order_by`` should be a unique key.
     """
     if n is not None and n < 0:
         raise ValueError("LIMIT must not be negative")
     if offset is not None and offset < 0:
         raise ValueError("OFFSET must not be negative")
-    if order_by is not None:
-        df = df.orderBy(*([order_by] if isinstance(order_by, str) else order_by))
+    keys = [] if order_by is None else [order_by] if isinstance(order_by, str) else list(order_by)
+    offset = offset or 0
+    end = INT8_MAX if n is None else min(offset + n, INT8_MAX)
     if n == 0:
         return df.limit(0)
-    if offset and offset > INT_MAX:  # more than Spark's operator counts to: number the rows
+    if end > MAX_ONE_TASK and (offset or end < INT8_MAX):
         from ..sources.snapshot import numbered
 
-        keys = df.columns if order_by is None else [order_by] if isinstance(order_by, str) else list(order_by)
-        df, offset = numbered(df.sparkSession, df, keys).where(F.col("__row") >= offset).drop("__row"), 0
+        rows = numbered(df.sparkSession, df, keys).where((F.col("__row") >= offset) & (F.col("__row") < end))
+        return (rows.orderBy("__row") if keys else rows).drop("__row")
+    if keys:
+        df = df.orderBy(*keys)
     if offset:
         df = df.offset(offset)
-    return df if n is None or n > INT_MAX else df.limit(n)
+    return df if end == INT8_MAX else df.limit(n)
 
 
 def with_ties(df: DataFrame, n: int, order_by) -> DataFrame:
     """The first ``n`` rows and all that tie with the last of them.
 
-    The n-th key is found by a top-k (no global window), then rows up to it are
+    The n-th key is found by ``limit_offset`` (no global window), then rows up to it are
     filtered; several order columns compare as a struct.
     """
     if n < 0:
@@ -44,6 +50,6 @@ def with_ties(df: DataFrame, n: int, order_by) -> DataFrame:
         return df.limit(0)
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
     key = F.struct(*[F.col(k).isNull().alias(f"n{i}") if j == 0 else F.col(k).alias(f"k{i}") for i, k in enumerate(keys) for j in (0, 1)])
-    top = df.select(key.alias("__k")).orderBy("__k").limit(n).agg(F.max("__k").alias("__last"))
+    top = limit_offset(df.select(key.alias("__k")), n, order_by="__k").agg(F.max("__k").alias("__last"))
     return df.join(F.broadcast(top), key <= F.col("__last")).drop("__last")
 

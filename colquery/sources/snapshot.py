@@ -30,12 +30,12 @@ OPS = ("=", "<>", "<", "<=", ">", ">=")
 
 
 def numbered(spark: SparkSession, df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Adds ``__row``, the 0-based rank in ``order_by``, without a one-task window.
+    """Adds ``__row``, the 0-based rank in ``order_by`` (none: in any order), without a one-task window.
 
     Rows are range partitioned and sorted; the few partition counts are summed
     up and added to each row's place in its partition.
     """
-    ranged = materialize(spark, df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
+    ranged = materialize(spark, (df.repartitionByRange(*order_by).sortWithinPartitions(*order_by) if order_by else df)
                          .withColumn("__id", F.monotonically_increasing_id())
                          .withColumn("__part", F.shiftright("__id", 33))
                          .withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id"), "ranged")

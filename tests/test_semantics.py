@@ -408,3 +408,26 @@ def test_chain_of_joins_forms_no_pairs(spark, monkeypatch):
     sides[catalogue.OI] = p.unionAll(spark.sql("SELECT 7, 2147483600"))
     with pytest.raises(PySparkException):
         chain().collect()
+
+
+def test_limits_in_many_tasks(spark, plain, monkeypatch):
+    """Rows beyond an offset, or up to a far limit, are cut by number and stay sorted; no plan brings them into one task."""
+    from colquery import queries as catalogue
+    from colquery.operators import limit
+
+    for name in ("limit_huge",):
+        df = catalogue.CATALOGUE[name][0](spark, "/root/testdata/sf0.001")
+        assert "Limit" not in plan(df)
+        ids = [r.id for r in df.collect()]
+        assert ids == sorted(ids) and len(ids) > 1000
+    monkeypatch.setattr(limit, "MAX_ONE_TASK", 10)
+    ties = plain.selectExpr("c1 % 3 AS k", "c1").repartition(5)
+    for n, m in ((20, 0), (20, 7), (5, 30), (None, 64), (2**63 - 1, 1), (2**31, None), (500, None), (5, 2**63 - 1)):
+        first, last = m or 0, 80 if n is None else min(80, (m or 0) + n)
+        assert [r.c1 for r in ops.limit_offset(plain.select("c1"), n, m, order_by="c1").collect()] == list(range(first + 1, last + 1))
+        want = sorted(i % 3 for i in range(1, 81))[first:last]
+        assert [r.k for r in ops.limit_offset(ties, n, m, order_by="k").collect()] == want
+        assert [r.k for r in ops.limit_offset(ties, n, m, order_by=[F.col("k").desc(), "c1"]).collect()] == sorted((i % 3 for i in range(1, 81)), reverse=True)[first:last]
+    unordered = plain.selectExpr("map(c1, c1) AS x")  # has no order
+    assert len({tuple(r.x) for r in ops.limit_offset(unordered, 30, 25).collect()}) == 30
+    assert ops.with_ties(ties, 30, "k").count() == 53 and ops.with_ties(ties, 2**40, "k").count() == 80
