@@ -415,7 +415,7 @@ def test_limits_in_many_tasks(spark, plain, monkeypatch):
     from colquery import queries as catalogue
     from colquery.operators import limit
 
-    for name in ("limit_huge",):
+    for name in ("limit_huge", "limit_offset_only"):
         df = catalogue.CATALOGUE[name][0](spark, "/root/testdata/sf0.001")
         assert "Limit" not in plan(df)
         ids = [r.id for r in df.collect()]
