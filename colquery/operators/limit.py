@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +28,10 @@ def limit_offset(df: DataFrame, n: int | None = None, offset: int | None = None,
     if n == 0:
         return df.limit(0)
     if end > MAX_ONE_TASK and (offset or end < INT8_MAX):
-        from ..sources.snapshot import numbered
-
-        rows = numbered(df.sparkSession, df, keys).where((F.col("__row") >= offset) & (F.col("__row") < end))
-        return (rows.orderBy("__row") if keys else rows).drop("__row")
+        try:
+            return _cut(df, offset, end, keys)
+        except AnalysisException:  # holds what Parquet cannot, and errors of df itself, which are raised again
+            pass
     if keys:
         df = df.orderBy(*keys)
     if offset:
@@ -38,6 +39,16 @@ def limit_offset(df: DataFrame, n: int | None = None, offset: int | None = None,
     return df if end == INT8_MAX else df.limit(n)
 
 
+def _cut(df: DataFrame, offset: int, end: int, keys: list) -> DataFrame:
+    """Rows ``offset`` to ``end`` by number. They are written under names of their own, as those of ``df`` may repeat or be ``__row``."""
+    from ..sources.snapshot import numbered
+
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+    rows = numbered(df.sparkSession, ranged.toDF(*(f"c{i}" for i in range(len(df.columns)))), ())
+    rows = rows.where((F.col("__row") >= offset) & (F.col("__row") < end))
+    return (rows.orderBy("__row") if keys else rows).drop("__row").toDF(*df.columns)
+
+
 def with_ties(df: DataFrame, n: int, order_by) -> DataFrame:
     """The first ``n`` rows and all that tie with the last of them.
 

@@ -431,3 +431,37 @@ def test_limits_in_many_tasks(spark, plain, monkeypatch):
     unordered = plain.selectExpr("map(c1, c1) AS x")  # has no order
     assert len({tuple(r.x) for r in ops.limit_offset(unordered, 30, 25).collect()}) == 30
     assert ops.with_ties(ties, 30, "k").count() == 53 and ops.with_ties(ties, 2**40, "k").count() == 80
+
+
+def test_far_limits_keep_columns(spark, plain, monkeypatch):
+    """Names may repeat or be those the step uses itself; what Parquet cannot hold is cut all the same."""
+    from colquery.operators import limit
+
+    monkeypatch.setattr(limit, "MAX_ONE_TASK", 10)
+    inner = ["c1", "__row", "__id", "__part", "__at", "__start", "c0"]
+    for names in (inner, ["c1", *"xxXxyy"]):
+        df = ops.limit_offset(plain.selectExpr("c1", *["c1 + 1"] * 6).toDF(*names), None, 75, order_by="c1")
+        assert df.columns == names and [tuple(r) for r in df.collect()] == [(i, *[i + 1] * 6) for i in range(76, 81)]
+    sides = plain.alias("l").join(plain.alias("r"), F.expr("l.c1 = r.c1")).select("l.c1", "r.c1")
+    assert [tuple(r) for r in ops.limit_offset(sides, 3, 70, order_by="l.c1").collect()] == [(i, i) for i in (71, 72, 73)]
+    odd = ops.limit_offset(plain.selectExpr("c1", "named_struct('a', c1, 'A', -c1) AS s", "make_interval(0, 0, 0, c1) AS i"), None, 78, order_by="c1")
+    assert [tuple(r) for r in odd.selectExpr("c1", "string(i)").collect()] == [(79, "79 days"), (80, "80 days")]
+    with pytest.raises(PySparkException):
+        ops.limit_offset(plain, None, 64, order_by="none")
+
+
+def test_offset_is_written_by_many_tasks(spark, tmp_path):
+    """As it was, one task sorted and wrote all rows."""
+    import pyarrow.parquet as pq
+
+    from colquery import queries as catalogue
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name, skipped in (("limit_offset_only", 64), ("limit_huge", 1)):
+            catalogue.CATALOGUE[name][0](spark, "/root/testdata/sf0.01").write.parquet(f"{tmp_path}/{name}")
+            parts = [pq.read_table(f, partitioning=None)["id"].to_pylist() for f in sorted(tmp_path.glob(f"{name}/part-*"))]
+            want = sorted(pq.read_table("/root/testdata/sf0.01/orders.parquet")["o_orderkey"].to_pylist())[skipped:]
+            assert [i for p in parts for i in p] == want and max(map(len, parts)) < len(want) / 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
